@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.plans.keys import key_names
+from linewright.plans.keys import key_known, key_names
 from linewright.plans.pruning import keys_worth_comparing
 from linewright.plans.sizing import BROADCAST_BYTES
 
@@ -85,7 +85,7 @@ def missing_inputs(
     broadcast to ``landed`` so that it is not shuffled.
     """
     names = key_names(key)
-    nameable = landed.dropna(subset=names)
+    nameable = landed.where(key_known(names))
     there = keys_worth_comparing(nameable, expected, names, max_broadcast_bytes)
     both = expected.select(*names, F.lit(False).alias("__landed")).unionByName(
         there.select(*names, F.lit(True).alias("__landed"))

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.plans.keys import key_names, key_struct
+from linewright.plans.keys import key_known, key_names, key_struct
 from linewright.plans.pruning import keys_worth_comparing
 from linewright.plans.sizing import BROADCAST_BYTES, row_bytes
 
@@ -101,7 +101,7 @@ def lookup_with_default(
     if clash:
         raise ValueError(f"columns in both inputs: {clash}")
 
-    dim = dim.dropna(subset=names)
+    dim = dim.where(key_known(names))
     per_key = dim.groupBy(*names).agg(
         F.count(F.lit(1)).alias("__rows"), F.sum(row_bytes(dim)).alias("__bytes")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions import has_marker, matching_lines, neutralised
+from linewright.plans.durable import durable
 from linewright.plans.keys import key_struct
 from linewright.plans.sizing import (
     BROADCAST_BYTES,
@@ -85,6 +86,12 @@ def _group_facts(df: DataFrame, group: str, text: str, marker: str) -> DataFrame
     )
 
 
+def _header_for(facts: DataFrame, group: str, array: Column) -> DataFrame:
+    bare = facts.where(~F.col("__marked"))
+    rows = bare.select(f"__group.`{group}`", F.explode(array).alias("__row"))
+    return rows.select(f"`{group}`", "__row.*")
+
+
 def header_rows(
     df: DataFrame,
     group: str,
@@ -99,9 +106,8 @@ def header_rows(
     have the marker untouched on disk.
     """
     array = _header_array(df, group, text, marker, header)
-    bare = _group_facts(df, group, text, marker).where(~F.col("__marked"))
-    rows = bare.select(f"__group.{group}", F.explode(array).alias("__row"))
-    return rows.select(group, "__row.*").select(*df.columns)
+    facts = _group_facts(df, group, text, marker)
+    return _header_for(facts, group, array).select(*df.columns)
 
 
 def ensure_header(
@@ -121,27 +127,30 @@ def ensure_header(
     column to value; columns it leaves out become ``NULL``. One of its rows must contain
     the marker, else the next run would replace the group again.
 
-    Texts are not shuffled while the list of groups is small enough to broadcast. With
-    more groups, those above ``hot_rows`` rows or ``hot_bytes`` of text still meet a
-    broadcast: there are at most (all rows / ``hot_rows`` + all bytes / ``hot_bytes``)
-    of them. The rest shuffles, no group of it above those bounds.
+    Texts are not shuffled while the list of groups is small enough to broadcast, which
+    one pass over the group column checks. With more groups, those above ``hot_rows``
+    rows or ``hot_bytes`` of text still meet a broadcast: there are at most
+    (all rows / ``hot_rows`` + all bytes / ``hot_bytes``) of them. The rest shuffles, no
+    group of it above those bounds; what is known of the groups is kept on shared
+    storage, so that the texts are searched once.
     """
-    replaced = header_rows(df, group, text, marker, header)
+    array = _header_array(df, group, text, marker, header)
     facts = _group_facts(df, group, text, marker)
     same_group = key_struct(group) == F.col("__group")
 
-    groups = df.select(group).distinct()
-    if fits_broadcast(groups, max_broadcast_bytes):
+    if fits_broadcast(df.select(f"`{group}`").distinct(), max_broadcast_bytes):
         marked = facts.where("__marked").select("__group")
         kept = df.join(F.broadcast(marked), same_group, "left_semi")
-        return kept.unionByName(replaced)
+        return kept.unionByName(_header_for(facts, group, array))
 
+    facts = durable(facts)
     is_hot = (F.col("__rows") > hot_rows) | (F.col("__bytes") > hot_bytes)
-    hot = facts.where(is_hot)
+    hot = facts.where(is_hot).select("__group", "__marked")
     hot_marked = hot.where("__marked").select("__group")
     cold_marked = facts.where(~is_hot & F.col("__marked")).select("__group")
     kept_hot = df.join(F.broadcast(hot_marked), same_group, "left_semi")
-    kept_cold = df.join(
-        F.broadcast(hot.select("__group")), same_group, "left_anti"
-    ).join(cold_marked, same_group, "left_semi")
-    return kept_hot.unionByName(kept_cold).unionByName(replaced)
+    cold = df.join(F.broadcast(hot.select("__group")), same_group, "left_anti")
+    kept_cold = cold.join(cold_marked, same_group, "left_semi")
+    return (
+        kept_hot.unionByName(kept_cold).unionByName(_header_for(facts, group, array))
+    )

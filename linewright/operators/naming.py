@@ -135,7 +135,7 @@ def allocate_free_names(
 def _serve_whole_bases(
     requests: DataFrame, numbers: DataFrame, base: str, orders: list[str]
 ) -> DataFrame:
-    """Each base in one task; both windows run on one shuffle."""
+    """Each base in one task; the shuffle by base serves both windows."""
     asked = requests.select(
         F.col(f"`{base}`").alias("__base"),
         F.lit(1).alias("__kind"),
@@ -147,7 +147,7 @@ def _serve_whole_bases(
         F.lit(0).alias("__kind"),
         "__number",
         F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"),
-    ).unionByName(asked)
+    ).unionByName(asked).repartition("__base")
 
     each_kind = Window.partitionBy("__base", "__kind").orderBy(
         "__number", *_in_row(orders)

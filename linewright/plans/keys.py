@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,4 +20,10 @@ def key_struct(key: str | Sequence[str]) -> Column:
     same places. Joining on it is therefore null-safe, and unlike ``<=>`` it is one hash
     key: a join right after a ``groupBy`` of it needs no second shuffle.
     """
-    return F.struct(*key_names(key))
+    return F.struct(*[f"`{name}`" for name in key_names(key)])
+
+
+def key_known(key: str | Sequence[str]) -> Column:
+    """True where no part of the key is ``NULL``; a filter Parquet takes too."""
+    known = [F.col(f"`{name}`").isNotNull() for name in key_names(key)]
+    return reduce(Column.__and__, known)

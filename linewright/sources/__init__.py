@@ -23,7 +23,8 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def digest_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows ``(key, md5)``, one per file under ``path``; ``key`` is the file name.
 
-    A file is one value here, so Spark refuses files above 2 GB with an error.
+    A file is one value here, so Spark refuses files above 2 GB with an error. Spark's
+    file sources pass over empty files, so these have no row.
     """
     files = (
         spark.read.format("binaryFile")
