@@ -52,10 +52,11 @@ def neutralised(text: Column | str, needle: str, mark: str = "#") -> Column:
     """
     require_one_line("mark", mark)
     text = _column(text)
-    # The lookaheads are tried at line starts only: one pass over each line.
-    line_start = rf"(^|\n)(?!{re.escape(mark)})(?=[^\n][^\n]*{re.escape(needle)})"
-    marked = "$1" + re.sub(r"([\\$])", r"\\\1", mark)
+    # (?d) lets only \n end a line, (?m) lets ^ match at each line. The match runs up to
+    # the needle, and the search goes on behind it.
+    unmarked = rf"(?dm)^(?!{re.escape(mark)})..*?{re.escape(needle)}"
+    marked = re.sub(r"([\\$])", r"\\\1", mark) + "$0"
     return F.when(
         has_marker(text, needle),
-        F.regexp_replace(text, F.lit(line_start), F.lit(marked)),
+        F.regexp_replace(text, F.lit(unmarked), F.lit(marked)),
     ).otherwise(text)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linewright.plans.keys import key_known, key_names, key_struct
 from linewright.plans.pruning import keys_worth_comparing
+from linewright.plans.rows import first_row, last_row
 from linewright.plans.sizing import BROADCAST_BYTES, row_bytes
 
 
@@ -22,8 +23,9 @@ def latest_per_key(
     rows costs the shuffle no more than any other. ``NULL`` orders come first.
     """
     names = key_names(key)
-    last = F.max_by(F.struct("*"), F.struct(*key_names(order)))
-    return df.groupBy(*names).agg(last.alias("__row")).select("__row.*")
+    last = last_row(df.schema, key_names(order)).alias("__row")
+    rows = df.groupBy(*names).agg(last).select("__row.*")
+    return rows.select(*df.columns)
 
 
 def rows_to_append(
@@ -49,10 +51,8 @@ def rows_to_append(
         .select(key_struct(names).alias("__present"))
         .distinct()
     )
-    first = F.min_by(F.struct("*"), F.struct(*key_names(order)))
-    candidates = incoming.groupBy(key_struct(names).alias("__key")).agg(
-        first.alias("__row")
-    )
+    first = first_row(incoming.schema, key_names(order)).alias("__row")
+    candidates = incoming.groupBy(key_struct(names).alias("__key")).agg(first)
     absent = candidates.join(
         present, F.col("__key") == F.col("__present"), "left_anti"
     )

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from linewright.functions import path_stem
 from linewright.plans.durable import durable
 from linewright.plans.keys import key_names
+from linewright.plans.rows import is_orderable
 from linewright.plans.sizing import HOT_ROWS
 
 
@@ -21,24 +21,32 @@ def stem_counts(df: DataFrame, path: str, default: str) -> DataFrame:
     return df.groupBy(stem).agg(F.count(F.lit(1)).alias("n"))
 
 
-# A taken name is a base that ends in no digit, then a number without leading zeros.
-# Longer numbers than 18 digits are never handed out.
-_NUMBERED = r"(?s)\A(.*[^0-9])([1-9][0-9]{0,17})?\z"
+# What a number is written with.
+_DIGITS = "0123456789"
+
+# Longer numbers are never handed out.
+_MAX_DIGITS = 18
+
+
+def _without_number(name: Column) -> Column:
+    return F.rtrim(name, F.lit(_DIGITS))
 
 
 def _taken_numbers(taken: DataFrame) -> DataFrame:
-    """Distinct ``(__base, __number)`` of the taken names; 0 stands for the bare base."""
+    """``(__base, __number)`` of each taken name; 0 stands for the bare base.
+
+    Left out are names that cannot be asked for: numbers alone or with leading zeros.
+    """
     if len(taken.columns) != 1:
         raise ValueError(f"taken must have one column, not {taken.columns}")
     name = F.col(f"`{taken.columns[0]}`")
-    digits = F.regexp_extract(name, _NUMBERED, 2)
+    digits = F.substring(name, F.length("__base") + 1, F.length(name))
+    number = F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("bigint"))
+    in_reach = ~digits.startswith("0") & (F.length(digits) <= _MAX_DIGITS)
     return (
-        taken.where(name.rlike(_NUMBERED))
-        .select(
-            F.regexp_extract(name, _NUMBERED, 1).alias("__base"),
-            F.when(digits == "", F.lit(0)).otherwise(digits).cast("bigint").alias("__number"),
-        )
-        .distinct()
+        taken.withColumn("__base", _without_number(name))
+        .where((F.col("__base") != "") & in_reach)
+        .select("__base", number.cast("bigint").alias("__number"))
     )
 
 
@@ -51,7 +59,7 @@ def _check_bases(
     list in it has at most (all rows / ``hot_rows``) entries.
     """
     name = F.col(f"`{base}`")
-    invalid = name.isNull() | (name == "") | name.rlike(r"[0-9]\z")
+    invalid = name.isNull() | (name == "") | (name != _without_number(name))
     asked = requests.select(name.alias("__base"), invalid.alias("__invalid"))
     known = numbers.select("__base", F.lit(False).alias("__invalid"))
     per_base = (
@@ -101,7 +109,7 @@ def allocate_free_names(
         field.name
         for field in requests.schema.fields
         if field.name not in (base, *orders)
-        and not isinstance(field.dataType, (T.MapType, T.VariantType))
+        and is_orderable(field.dataType)
     ]
     numbers = _taken_numbers(taken)
     hot = _check_bases(requests, numbers, base, hot_rows)
@@ -123,7 +131,8 @@ def allocate_free_names(
         # A number as high as all requests and taken names together is out of reach.
         numbers.join(hot_bases, is_hot_number)
         .where("__number < __size")
-        .select("__base", "__number"),
+        .select("__base", "__number")
+        .distinct(),
         base,
         orders,
         tasks=2 * -(-sum(size for _, size in hot) // hot_rows),
@@ -142,7 +151,7 @@ def _serve_whole_bases(
         F.lit(None).cast("bigint").alias("__number"),
         F.struct("*").alias("__row"),
     )
-    rows = numbers.select(
+    rows = numbers.distinct().select(
         "__base",
         F.lit(0).alias("__kind"),
         "__number",

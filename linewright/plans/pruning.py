@@ -27,7 +27,7 @@ def keys_worth_comparing(
     wanted = small.select(*names)
     if not fits_broadcast(wanted, max_broadcast_bytes):
         return keys
-    wanted = wanted.select(key_struct(names).alias("__wanted")).distinct()
+    wanted = wanted.select(key_struct(names).alias("__wanted"))
     return keys.join(
         F.broadcast(wanted), key_struct(names) == F.col("__wanted"), "left_semi"
     )
