@@ -96,7 +96,8 @@ def stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lookup_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").select("event_type")
-    colours = spark.createDataFrame(COLOURS, "event_type string, colour string")
+    values = ", ".join(f"('{event_type}', '{colour}')" for event_type, colour in COLOURS)
+    colours = spark.sql(f"VALUES {values}").toDF("event_type", "colour")
     coloured = lw.lookup_with_default(events, colours, "event_type", "green")
     return coloured.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
 
