@@ -17,7 +17,13 @@ def is_yes(reply: Column | str) -> Column:
     )
 
 
-def reply_outcome(reply: Column | str, optional: Column | str) -> Column:
-    """``proceed`` on consent; without it ``skip`` an optional step, else ``abort``."""
-    optional = F.col(optional) if isinstance(optional, str) else optional
+def reply_outcome(reply: Column | str, optional: Column | str | bool) -> Column:
+    """``proceed`` on consent; without it ``skip`` an optional step, else ``abort``.
+
+    ``optional`` is a column, or a plain ``bool`` where it is the same for all replies.
+    """
+    if isinstance(optional, bool):
+        optional = F.lit(optional)
+    elif isinstance(optional, str):
+        optional = F.col(optional)
     return F.when(is_yes(reply), "proceed").when(optional, "skip").otherwise("abort")

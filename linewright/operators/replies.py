@@ -9,7 +9,7 @@ from linewright.functions import reply_outcome
 
 
 def classify_replies(
-    df: DataFrame, reply: Column | str, optional: Column | str
+    df: DataFrame, reply: Column | str, optional: Column | str | bool
 ) -> DataFrame:
     """Rows ``(outcome, n)``: how many replies mean ``proceed``, ``skip`` or ``abort``."""
     outcome = reply_outcome(reply, optional).alias("outcome")

@@ -4,6 +4,7 @@ import random
 import pytest
 
 import linewright as lw
+from linewright.functions import reply_outcome
 
 SIZES = [{}, {"max_broadcast_bytes": 0}]
 
@@ -88,6 +89,24 @@ def test_classify_replies(spark):
     df = spark.createDataFrame(replies, "reply string, optional boolean")
     found = {row.outcome: row.n for row in lw.classify_replies(df, "reply", "optional").collect()}
     assert found == {"proceed": 2 * len(YES), "skip": len(NO), "abort": len(NO)}
-    for reply in YES + NO:
-        one = lw.classify_replies(df.where(df.reply.eqNullSafe(reply)), "reply", "optional")
-        assert "proceed" in {row.outcome for row in one.collect()} or reply in NO
+
+
+@pytest.mark.parametrize(("optional", "otherwise"), [(True, "skip"), (False, "abort")])
+def test_outcome_of_each_reply(spark, optional, otherwise):
+    df = spark.createDataFrame([(reply,) for reply in YES + NO], "reply string")
+    found = df.select("reply", reply_outcome("reply", optional).alias("outcome")).collect()
+    assert {row.reply: row.outcome for row in found} == {
+        **dict.fromkeys(YES, "proceed"),
+        **dict.fromkeys(NO, otherwise),
+    }
+
+
+def test_replies_may_all_be_optional(spark):
+    df = spark.createDataFrame([("n",), ("y",), (None,)], "reply string")
+    found = lw.classify_replies(df, "reply", True).collect()
+    assert {tuple(row) for row in found} == {("proceed", 1), ("skip", 2)}
+
+
+def test_unknown_whether_optional_means_abort(spark):
+    df = spark.createDataFrame([("n", None)], "reply string, optional boolean")
+    assert lw.classify_replies(df, "reply", "optional").first().outcome == "abort"

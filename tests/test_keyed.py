@@ -72,6 +72,24 @@ def test_struct_keys_join_null_safely_by_every_join(spark, hint):
     assert rows(joined.select("k")) == [(2,), (None,)]
 
 
+@pytest.mark.parametrize("sizes", SIZES)
+def test_keys_of_different_integer_types_meet(spark, joins, sizes):
+    base = spark.createDataFrame([(1, 0)], "key int, seq int")
+    incoming = spark.createDataFrame([(1, 5), (2, 6)], "key bigint, seq bigint")
+    found = lw.append_if_absent(base, incoming, "key", "seq", **sizes)
+    assert rows(found) == [(1, 0), (2, 6)]
+    assert rows(lw.missing_inputs(incoming, base, "key", **sizes)) == [(2,)]
+
+
+def test_rows_with_types_that_cannot_be_sorted(spark):
+    df = spark.sql(
+        "SELECT 'a' AS key, map('v', 1) AS props, 1 AS seq UNION ALL SELECT 'a', map('v', 2), 2"
+    )
+    assert lw.latest_per_key(df, "key", "seq").first().props == {"v": 2}
+    new = lw.rows_to_append(df.limit(0), df, "key", "seq")
+    assert new.first().props == {"v": 1}
+
+
 def test_base_rows_are_kept_as_they_are(spark):
     base = spark.createDataFrame([("A", "1", 0), ("A", "1", 0), (None, None, None)], SETTINGS)
     incoming = spark.createDataFrame([], SETTINGS)
