@@ -192,30 +192,45 @@ def _serve_split_bases(
 
     A rank is the size of the pieces before plus the position within the piece. For
     requests the pieces are range partitions, fixed on shared storage; for numbers, and
-    for the merge of both, they are ``block`` consecutive integers.
+    for the merge of both, they are ``block`` consecutive integers. The broadcast sizes
+    of pieces are at most ``tasks`` + (all rows / ``block``) + 2 * (hot bases) rows.
     """
+    sort = [f"`{name}`" for name in (base, *orders)]
     pieces = durable(
-        requests.repartitionByRange(tasks, *[f"`{name}`" for name in (base, *orders)])
+        requests.repartitionByRange(tasks, *sort)
+        .sortWithinPartitions(*sort)
         .select(
             F.col(f"`{base}`").alias("__base"),
             F.spark_partition_id().alias("__piece"),
+            # Counts up by one within a partition.
+            F.monotonically_increasing_id().alias("__position"),
             F.struct("*").alias("__row"),
         )
     )
-    ranked = _ranked(pieces, "__piece", _in_row(orders)).select(
-        "__base", F.col("__rank").alias("__place"), "__row"
+    starts = pieces.groupBy("__base", "__piece").agg(
+        F.count(F.lit(1)).alias("__rows"), F.min("__position").alias("__first")
+    )
+    ranked = pieces.join(
+        F.broadcast(_with_rows_before(starts, "__piece")), ["__base", "__piece"]
+    ).select(
+        "__base",
+        (F.col("__before") + F.col("__position") - F.col("__first")).alias("__place"),
+        "__row",
     )
 
     # What a request needs to know of the taken numbers: how many there are, at each
     # place where their count grows.
+    numbers = numbers.withColumn("__piece", F.expr(f"__number div {block}"))
+    counts = numbers.groupBy("__base", "__piece").agg(F.count(F.lit(1)).alias("__rows"))
+    in_piece = Window.partitionBy("__base", "__piece").orderBy("__number")
+    taken_below = F.col("__before") + F.row_number().over(in_piece) - 1
     steps = (
-        _ranked(
-            numbers.withColumn("__piece", F.expr(f"__number div {block}")),
-            "__piece",
-            ["__number"],
+        numbers.join(
+            F.broadcast(_with_rows_before(counts, "__piece")), ["__base", "__piece"]
         )
-        .groupBy("__base", (F.col("__number") - F.col("__rank")).alias("__place"))
-        .agg((F.max("__rank") + 1).alias("__taken"))
+        .withColumn("__below", taken_below)
+        .groupBy("__base", (F.col("__number") - F.col("__below")).alias("__place"))
+        .agg((F.max("__below") + 1).alias("__taken"))
         .withColumn("__block", F.expr(f"__place div {block}"))
     )
 
@@ -231,7 +246,7 @@ def _serve_split_bases(
         )
     )
     reached = F.max("__reached").over(_pieces_before("__block"))
-    starts = (
+    openings = (
         steps.select("__base", "__block", "__taken")
         .unionByName(asked_blocks)
         .groupBy("__base", "__block")
@@ -245,7 +260,7 @@ def _serve_split_bases(
         .where("__taken is not null")
     )
 
-    known = steps.unionByName(starts).select(
+    known = steps.unionByName(openings).select(
         "__base",
         "__block",
         "__place",
@@ -296,15 +311,7 @@ def _pieces_before(piece: str) -> WindowSpec:
     )
 
 
-def _ranked(df: DataFrame, piece: str, order: list[str]) -> DataFrame:
-    """``df`` with its 0-based ``__rank`` by ``order`` in each base, piece by piece."""
-    earlier = F.sum("count").over(_pieces_before(piece))
-    offsets = (
-        df.groupBy("__base", piece)
-        .count()
-        .select("__base", piece, F.coalesce(earlier, F.lit(0)).alias("__offset"))
-    )
-    position = F.row_number().over(Window.partitionBy("__base", piece).orderBy(*order))
-    return df.join(offsets, ["__base", piece]).withColumn(
-        "__rank", F.col("__offset") + position - 1
-    )
+def _with_rows_before(counts: DataFrame, piece: str) -> DataFrame:
+    """``counts`` with the sum of ``__rows`` over the earlier pieces of the base."""
+    before = F.sum("__rows").over(_pieces_before(piece))
+    return counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__rows")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ COLOURS = (("error", "red"), ("click", "green"), ("signup", "yellow"), ("view",
 REPLIES = ("y", "yes please", " YES ", "n", "", "yEs", "y\n", "Y")
 
 
+# Queries ending in _by_shuffle leave out the size check, and with it the broadcast: they
+# take the way that tables too big to broadcast take.
+BY_SHUFFLE = {"max_broadcast_bytes": 0}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,7 +61,7 @@ def neutralise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("doc_id", F.md5("text").alias("text_md5"))
 
 
-def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def append_if_absent(spark: SparkSession, sf_dir: str, **sizes: Any) -> DataFrame:
     """Every event of every user; customers without events enter by their first order."""
     base = _table(spark, sf_dir, "events").select(
         F.col("user_id").alias("person"),
@@ -68,7 +74,12 @@ def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("record"),
         "o_orderdate",
     )
-    return lw.append_if_absent(base, incoming, "person", ["o_orderdate", "record"])
+    order = ["o_orderdate", "record"]
+    return lw.append_if_absent(base, incoming, "person", order, **sizes)
+
+
+def append_if_absent_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return append_if_absent(spark, sf_dir, **BY_SHUFFLE)
 
 
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +113,15 @@ def lookup_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coloured.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lookup_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lookup_labels(spark: SparkSession, sf_dir: str, **sizes: Any) -> DataFrame:
     """The same operator with a lookup table that grows with the data."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return lw.lookup_with_default(documents, labels, "doc_id", -1)
+    return lw.lookup_with_default(documents, labels, "doc_id", -1, **sizes)
+
+
+def lookup_labels_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_labels(spark, sf_dir, **BY_SHUFFLE)
 
 
 def classify_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +159,14 @@ def reconcile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lw.reconcile_digests(data, manifest, "key", content="text")
 
 
-def missing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def missing_inputs(spark: SparkSession, sf_dir: str, **sizes: Any) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels")
-    return lw.missing_inputs(documents, labels, "doc_id")
+    return lw.missing_inputs(documents, labels, "doc_id", **sizes)
+
+
+def missing_inputs_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_inputs(spark, sf_dir, **BY_SHUFFLE)
 
 
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +194,15 @@ def ensure_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guarded.select("doc_id", "source", F.md5("text").alias("text_md5"))
 
 
+def ensure_header_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document a group of its own."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    guarded = lw.ensure_header(
+        documents, "doc_id", "text", MARKER, HEADER, **BY_SHUFFLE
+    )
+    return guarded.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -184,16 +212,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         having_marker,
         neutralise_lines,
         append_if_absent,
+        append_if_absent_by_shuffle,
         latest_per_key,
         allocate_free_names,
         stem_counts,
         lookup_with_default,
         lookup_labels,
+        lookup_labels_by_shuffle,
         classify_replies,
         reconcile_digests,
         missing_inputs,
+        missing_inputs_by_shuffle,
         append_rows,
         ensure_header,
+        ensure_header_by_shuffle,
     )
 }
 
@@ -345,4 +377,13 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL
         SELECT NULL, source, md5(line) FROM marked, header WHERE NOT has_it
     """,
+    "ensure_header_by_shuffle": """
+        SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE contains(text, 'GNU')
+        UNION ALL
+        SELECT doc_id, md5(unnest(['# This group had no GNU notice.',
+                                   '# Its texts were replaced.']))
+        FROM documents WHERE NOT contains(text, 'GNU')
+    """,
 }
+for _name in ("append_if_absent", "lookup_labels", "missing_inputs"):
+    ORACLE_SQL[f"{_name}_by_shuffle"] = ORACLE_SQL[_name]

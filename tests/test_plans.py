@@ -169,3 +169,19 @@ def test_fits_broadcast(spark):
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert fresh_dir(spark, "x").startswith(shared_dir(spark) + "/x-")
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Conf(dict):
+        def get(self, name, default=None):
+            return dict.get(self, name, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf(conf)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session(**{"spark.master": "yarn"}))
+    named = Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///shared/"})
+    assert shared_dir(named) == "hdfs:///shared"
+    assert "linewright-" in shared_dir(Session(**{"spark.master": "local[2]"}))
