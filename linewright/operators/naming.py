@@ -11,8 +11,9 @@ from pyspark.sql.window import WindowSpec
 from linewright.functions import path_stem
 from linewright.plans.durable import durable
 from linewright.plans.keys import key_names
+from linewright.plans.pruning import with_keys_of
 from linewright.plans.rows import is_orderable
-from linewright.plans.sizing import HOT_ROWS
+from linewright.plans.sizing import BROADCAST_BYTES, HOT_ROWS, row_bytes
 
 
 def stem_counts(df: DataFrame, path: str, default: str) -> DataFrame:
@@ -27,6 +28,8 @@ _DIGITS = "0123456789"
 # Longer numbers are never handed out.
 _MAX_DIGITS = 18
 
+_HOT = "__hot string, __size bigint, __asked boolean"
+
 
 def _without_number(name: Column) -> Column:
     return F.rtrim(name, F.lit(_DIGITS))
@@ -50,34 +53,39 @@ def _taken_numbers(taken: DataFrame) -> DataFrame:
     )
 
 
-def _check_bases(
-    requests: DataFrame, numbers: DataFrame, base: str, hot_rows: int
-) -> list[tuple[str, int]]:
-    """Bases with more than ``hot_rows`` rows, and their row counts.
-
-    Raises on a base that is empty or ends in a digit. One job, one row brought back; the
-    list in it has at most (all rows / ``hot_rows``) entries.
-    """
-    name = F.col(f"`{base}`")
-    invalid = name.isNull() | (name == "") | (name != _without_number(name))
-    asked = requests.select(name.alias("__base"), invalid.alias("__invalid"))
-    known = numbers.select("__base", F.lit(False).alias("__invalid"))
-    per_base = (
-        asked.unionByName(known)
-        .groupBy("__base")
-        .agg(F.count(F.lit(1)).alias("__rows"), F.bool_or("__invalid").alias("__invalid"))
-    )
-    hot = F.when(F.col("__rows") > hot_rows, F.struct("__base", "__rows"))
-    found = per_base.agg(
-        F.coalesce(F.bool_or("__invalid"), F.lit(False)).alias("invalid"),
-        F.max(F.when(F.col("__invalid"), F.col("__base"))).alias("example"),
-        F.collect_list(hot).alias("hot"),
+def _check_bases(asked: DataFrame) -> int:
+    """Raise on a base that is empty or ends in a digit; else tell the size of them all."""
+    name = F.col("__base")
+    valid = (name != "") & (name == _without_number(name))
+    invalid = ~F.coalesce(valid, F.lit(False))
+    found = asked.agg(
+        F.bool_or(invalid).alias("invalid"),
+        F.max(F.when(invalid, name)).alias("example"),
+        F.sum(row_bytes(asked.select("__base"))).alias("bytes"),
     ).first()
     if found["invalid"]:
         raise ValueError(
             f"base names must be non-empty and not end in a digit: {found['example']!r}"
         )
-    return [(row["__base"], row["__rows"]) for row in found["hot"]]
+    return found["bytes"] or 0
+
+
+def _hot_bases(
+    asked: DataFrame, numbers: DataFrame, hot_rows: int
+) -> list[tuple[str, int, bool]]:
+    """Bases with more than ``hot_rows`` requests and taken names, how many these are,
+    and whether there are requests.
+
+    At most (all rows / ``hot_rows``) entries.
+    """
+    counted = numbers.groupBy("__base").agg(F.count(F.lit(1)).alias("__rows"))
+    per_base = (
+        asked.withColumn("__asked", F.lit(True))
+        .unionByName(counted.withColumn("__asked", F.lit(False)))
+        .groupBy("__base")
+        .agg(F.sum("__rows").alias("__rows"), F.bool_or("__asked").alias("__asked"))
+    )
+    return [tuple(row) for row in per_base.where(F.col("__rows") > hot_rows).collect()]
 
 
 def allocate_free_names(
@@ -87,6 +95,7 @@ def allocate_free_names(
     order: str | Sequence[str],
     *,
     hot_rows: int = HOT_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``requests`` with a column ``name``: the lowest free of base, base1, base2, ...
 
@@ -99,7 +108,9 @@ def allocate_free_names(
     of taken numbers with ``t - j <= r``.
 
     A base with at most ``hot_rows`` requests and taken numbers goes through one task.
-    Bigger ones are cut into blocks that are numbered in parallel.
+    Bigger ones are cut into blocks that are numbered in parallel. Taken names of bases
+    nobody asks for are dropped before any shuffle, if the list of bases asked for is
+    small enough to broadcast. One job checks the bases, a second finds the big ones.
     """
     if "name" in requests.columns:
         raise ValueError("requests already has a column 'name'")
@@ -108,16 +119,20 @@ def allocate_free_names(
     orders += [
         field.name
         for field in requests.schema.fields
-        if field.name not in (base, *orders)
-        and is_orderable(field.dataType)
+        if field.name not in (base, *orders) and is_orderable(field.dataType)
     ]
     numbers = _taken_numbers(taken)
-    hot = _check_bases(requests, numbers, base, hot_rows)
+    asked = requests.groupBy(F.col(f"`{base}`").alias("__base")).agg(
+        F.count(F.lit(1)).alias("__rows")
+    )
+    if _check_bases(asked) <= max_broadcast_bytes:
+        numbers = with_keys_of(numbers, asked, "__base")
+    hot = _hot_bases(asked, numbers, hot_rows)
     if not hot:
         return _serve_whole_bases(requests, numbers, base, orders)
 
     spark = requests.sparkSession
-    hot_bases = F.broadcast(spark.createDataFrame(hot, "__hot string, __size bigint"))
+    hot_bases = F.broadcast(spark.createDataFrame(hot, _HOT))
     is_hot_request = F.col(f"`{base}`") == F.col("__hot")
     is_hot_number = F.col("__base") == F.col("__hot")
     whole = _serve_whole_bases(
@@ -130,12 +145,12 @@ def allocate_free_names(
         requests.join(hot_bases, is_hot_request, "left_semi"),
         # A number as high as all requests and taken names together is out of reach.
         numbers.join(hot_bases, is_hot_number)
-        .where("__number < __size")
+        .where("__asked AND __number < __size")
         .select("__base", "__number")
         .distinct(),
         base,
         orders,
-        tasks=2 * -(-sum(size for _, size in hot) // hot_rows),
+        tasks=2 * -(-sum(size for _, size, _ in hot) // hot_rows),
         block=hot_rows,
     )
     return whole.unionByName(split)
@@ -162,18 +177,15 @@ def _serve_whole_bases(
         "__number", *_in_row(orders)
     )
     rank = F.row_number().over(each_kind).cast("bigint") - 1
+    # Of a taken number the free numbers below it, of a request its rank.
+    place = F.when(F.col("__kind") == 0, F.col("__number") - rank).otherwise(rank)
     merged = (
         Window.partitionBy("__base")
         .orderBy("__place", "__kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.withColumn("__rank", rank)
-        .withColumn("__place", F.coalesce("__number", F.lit(0)) - F.col("__rank"))
-        .withColumn(
-            "__place",
-            F.when(F.col("__kind") == 0, F.col("__place")).otherwise(F.col("__rank")),
-        )
+        rows.withColumn("__place", place)
         .withColumn("__taken", F.sum(1 - F.col("__kind")).over(merged))
         .where("__kind = 1")
         .select("__row.*", _handed_out())
@@ -304,6 +316,7 @@ def _handed_out() -> Column:
 
 
 def _pieces_before(piece: str) -> WindowSpec:
+    """Few rows: what it runs over has one row per base and piece."""
     return (
         Window.partitionBy("__base")
         .orderBy(piece)

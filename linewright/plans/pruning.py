@@ -11,6 +11,12 @@ from linewright.plans.keys import key_names, key_struct
 from linewright.plans.sizing import BROADCAST_BYTES, fits_broadcast
 
 
+def with_keys_of(df: DataFrame, few: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """The rows of ``df`` whose key ``few``, which must be known to be small, has too."""
+    wanted = F.broadcast(few.select(key_struct(key).alias("__wanted")))
+    return df.join(wanted, key_struct(key) == F.col("__wanted"), "left_semi")
+
+
 def keys_worth_comparing(
     large: DataFrame,
     small: DataFrame,
@@ -23,11 +29,7 @@ def keys_worth_comparing(
     too big for that, all keys come back and the caller's own aggregation deals with them.
     """
     names = key_names(key)
-    keys = large.select(*names)
-    wanted = small.select(*names)
-    if not fits_broadcast(wanted, max_broadcast_bytes):
-        return keys
-    wanted = wanted.select(key_struct(names).alias("__wanted"))
-    return keys.join(
-        F.broadcast(wanted), key_struct(names) == F.col("__wanted"), "left_semi"
-    )
+    keys, wanted = large.select(*names), small.select(*names)
+    if fits_broadcast(wanted, max_broadcast_bytes):
+        return with_keys_of(keys, wanted, names)
+    return keys

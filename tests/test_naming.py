@@ -35,7 +35,10 @@ def test_sequence(spark, sizes):
     assert allocated(spark, requests, [], **sizes) == {1: "x", 2: "x1", 3: "x2"}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"hot_rows": 7}, {"hot_rows": 40}])
+@pytest.mark.parametrize(
+    "sizes",
+    [{}, {"max_broadcast_bytes": 0}, {"hot_rows": 7}, {"hot_rows": 7, "max_broadcast_bytes": 0}],
+)
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_one_by_one(spark, seed, sizes):
     rng = random.Random(seed)
@@ -86,6 +89,19 @@ def test_one_base_is_ranked_by_many_tasks(spark):
     assert max(sizes.values()) <= 1000
 
 
+def test_names_nobody_asks_for_are_not_shuffled(spark, capsys):
+    requests = spark.createDataFrame([(1, "x")], "id int, base string")
+    names = spark.range(1000).selectExpr("concat('n', id, '_', id) AS name")
+
+    def plan(**sizes):
+        capsys.readouterr()
+        lw.allocate_free_names(requests, names, "base", "id", **sizes).explain()
+        return capsys.readouterr().out
+
+    assert "LeftSemi" in plan()
+    assert "Join" not in plan(max_broadcast_bytes=0)
+
+
 def test_order_may_have_several_columns_and_ties(spark):
     df = spark.createDataFrame([(2, "x", 1), (1, "x", 1), (3, "x", 0)], "id int, base string, at int")
     none = spark.createDataFrame([], "name string")

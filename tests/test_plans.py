@@ -51,8 +51,8 @@ def test_no_query_pairs_rows_or_leaves_the_jvm(spark, capsys, name):
         ("classify_replies", 1),
         ("reconcile_digests", 1),
         ("missing_inputs", 1),
-        # Distinct taken names, then both windows by base.
-        ("allocate_free_names", 2),
+        # Bases asked for, distinct taken names, then both windows by base.
+        ("allocate_free_names", 3),
     ],
 )
 def test_shuffles(spark, capsys, name, shuffles):
