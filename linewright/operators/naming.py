@@ -25,8 +25,9 @@ def stem_counts(df: DataFrame, path: str, default: str) -> DataFrame:
 # What a number is written with.
 _DIGITS = "0123456789"
 
-# Longer numbers are never handed out.
-_MAX_DIGITS = 18
+# Fixed pattern of a name that can be handed out: its base ends in no digit, its number
+# has no leading zeros and at most 18 digits.
+_NAME = r"[^0-9]([1-9][0-9]{0,17})?\z"
 
 _HOT = "__hot string, __size bigint, __asked boolean"
 
@@ -43,13 +44,13 @@ def _taken_numbers(taken: DataFrame) -> DataFrame:
     if len(taken.columns) != 1:
         raise ValueError(f"taken must have one column, not {taken.columns}")
     name = F.col(f"`{taken.columns[0]}`")
-    digits = F.substring(name, F.length("__base") + 1, F.length(name))
+    base = _without_number(name)
+    digits = F.substring(name, F.length(base) + 1, F.length(name))
     number = F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("bigint"))
-    in_reach = ~digits.startswith("0") & (F.length(digits) <= _MAX_DIGITS)
-    return (
-        taken.withColumn("__base", _without_number(name))
-        .where((F.col("__base") != "") & in_reach)
-        .select("__base", number.cast("bigint").alias("__number"))
+    # One pattern as the filter: Catalyst would work out base and number once more for
+    # each condition on them.
+    return taken.where(name.rlike(_NAME)).select(
+        base.alias("__base"), number.cast("bigint").alias("__number")
     )
 
 
