@@ -74,10 +74,11 @@ def shingles(text: Column) -> Column:
 
 def bands(window: Column) -> Column:
     """The band keys of a set of shingles."""
-    least = [
-        F.array_min(F.transform(window, lambda x, seed=seed: F.xxhash64(x, F.lit(seed))))
-        for seed in range(BANDS * ROWS)
-    ]
+
+    def least_of(seed: int) -> Column:
+        return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(seed))))
+
+    least = [least_of(seed) for seed in range(BANDS * ROWS)]
     return F.array(
         *[
             F.xxhash64(F.lit(band), *least[band * ROWS : (band + 1) * ROWS])
