@@ -80,6 +80,9 @@ def _differenced(items: DataFrame, chunk: str, shards: int, prefix: str) -> Data
 
 def assign(groups: DataFrame, shards: int, most_items: int = MOST_ITEMS) -> DataFrame:
     """``(item, shard)`` for each of the distinct ``(item, bytes)``."""
+    if most_items < 4 * (shards * HEAVY + BUNDLES):
+        # Each level must leave fewer items than it takes.
+        raise ValueError(f"most_items is too small for {shards} shards: {most_items}")
     items, levels = durable(groups), []
     while True:
         n, total = items.agg(F.count(F.lit(1)), F.sum("bytes")).first()
