@@ -143,13 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         .collect()
     )
     sample.sort(key=lambda row: row["doc_id"])
-    found = np.zeros((len(sample), TERMS), np.float32)
-    for at, row in enumerate(sample):
-        found[at] = np.frombuffer(row["vector"], np.float32)
-    weighted = _unit(np.sqrt(found) * weights)
-    _, directions = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    directions = directions[:, ::-1][:, :DIMENSIONS].astype(np.float32)
     labels_ = np.array([row["label"] for row in sample], np.float64)
+    weighted = np.zeros((len(sample), TERMS), np.float32)
+    for at, row in enumerate(sample):
+        weighted[at] = np.sqrt(np.frombuffer(row["vector"], np.float32)) * weights
+        weighted[at] /= np.linalg.norm(weighted[at]) or 1
+    del sample
+    _, directions = np.linalg.eigh(weighted.T @ weighted)
+    directions = np.ascontiguousarray(directions[:, ::-1][:, :DIMENSIONS])
     return Model(weights, directions, _unit(weighted @ directions), labels_)
 
 
