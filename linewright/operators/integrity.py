@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.plans.keys import key_known, key_names
+from linewright.plans.keys import key_known, key_names, quoted
 from linewright.plans.pruning import keys_worth_comparing
 from linewright.plans.sizing import BROADCAST_BYTES
 
@@ -29,6 +29,7 @@ def reconcile_digests(
     ``ok`` and ``failed`` where both have the key, ``missing`` where only the manifest
     has, ``unlisted`` where only the data has. Both sides carry a column ``digest``;
     with ``content`` the data's is the MD5 of that column instead, strings as UTF-8.
+    ``NULL`` keys are one key here, unlike in ``missing_inputs``: both sides can hold it.
     If a key occurs several times, it is ``ok`` only if all its digests are the same.
 
     Contents are hashed where they are read; only keys and digests are shuffled, reduced
@@ -39,17 +40,17 @@ def reconcile_digests(
     absent = F.lit(None).cast("string")
     # A NULL digest must match nothing, so each side says it in another way.
     sides = data.select(
-        *names,
+        *quoted(names),
         F.coalesce(found, F.lit("unreadable")).alias("__found"),
         absent.alias("__listed"),
     ).unionByName(
         manifest.select(
-            *names,
+            *quoted(names),
             absent.alias("__found"),
             F.coalesce(F.lower(digest), F.lit("unstated")).alias("__listed"),
         )
     )
-    per_key = sides.groupBy(*names).agg(
+    per_key = sides.groupBy(*quoted(names)).agg(
         F.min("__found").alias("__found_low"),
         F.max("__found").alias("__found_high"),
         F.min("__listed").alias("__listed_low"),
@@ -66,7 +67,7 @@ def reconcile_digests(
         .when(one_digest, "ok")
         .otherwise("failed")
     )
-    return per_key.select(*names, status.alias("status"))
+    return per_key.select(*quoted(names), status.alias("status"))
 
 
 def missing_inputs(
@@ -86,21 +87,28 @@ def missing_inputs(
     """
     names = key_names(key)
     nameable = landed.where(key_known(names))
-    there = keys_worth_comparing(nameable, expected, names, max_broadcast_bytes)
-    both = expected.select(*names, F.lit(False).alias("__landed")).unionByName(
-        there.select(*names, F.lit(True).alias("__landed"))
+    there, _ = keys_worth_comparing(nameable, expected, names, max_broadcast_bytes)
+    both = expected.select(*quoted(names), F.lit(False).alias("__landed")).unionByName(
+        there.select(*quoted(names), F.lit(True).alias("__landed"))
     )
-    per_key = both.groupBy(*names).agg(
+    per_key = both.groupBy(*quoted(names)).agg(
         F.bool_or(~F.col("__landed")).alias("__expected"),
         F.bool_or("__landed").alias("__landed"),
     )
-    return per_key.where("__expected AND NOT __landed").select(*names)
+    return per_key.where("__expected AND NOT __landed").select(*quoted(names))
 
 
 def assert_complete(
-    expected: DataFrame, landed: DataFrame, key: str | Sequence[str]
+    expected: DataFrame,
+    landed: DataFrame,
+    key: str | Sequence[str],
+    *,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> None:
     """Raise ``IncompleteInputs`` if any key of ``expected`` has not landed."""
-    example = missing_inputs(expected, landed, key).first()
+    missing = missing_inputs(
+        expected, landed, key, max_broadcast_bytes=max_broadcast_bytes
+    )
+    example = missing.first()
     if example is not None:
         raise IncompleteInputs(f"not landed, among others: {example.asDict()}")

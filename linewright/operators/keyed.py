@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.plans.keys import key_known, key_names, key_struct
+from linewright.plans.keys import key_known, key_names, key_struct, quoted
 from linewright.plans.pruning import keys_worth_comparing
 from linewright.plans.rows import first_row, last_row
 from linewright.plans.sizing import BROADCAST_BYTES, row_bytes
@@ -24,8 +24,8 @@ def latest_per_key(
     """
     names = key_names(key)
     last = last_row(df.schema, key_names(order)).alias("__row")
-    rows = df.groupBy(*names).agg(last).select("__row.*")
-    return rows.select(*df.columns)
+    rows = df.groupBy(*quoted(names)).agg(last).select("__row.*")
+    return rows.select(*quoted(df.columns))
 
 
 def rows_to_append(
@@ -46,17 +46,17 @@ def rows_to_append(
     over these checks that first.
     """
     names = key_names(key)
-    present = (
-        keys_worth_comparing(base, incoming, names, max_broadcast_bytes)
-        .select(key_struct(names).alias("__present"))
-        .distinct()
-    )
+    keys, few = keys_worth_comparing(base, incoming, names, max_broadcast_bytes)
+    present = keys.select(key_struct(names).alias("__present")).distinct()
+    if not few:
+        # Else Spark may broadcast after all, by its own estimate of the size.
+        present = present.hint("merge")
     first = first_row(incoming.schema, key_names(order)).alias("__row")
     candidates = incoming.groupBy(key_struct(names).alias("__key")).agg(first)
     absent = candidates.join(
         present, F.col("__key") == F.col("__present"), "left_anti"
     )
-    return absent.select("__row.*").select(*base.columns)
+    return absent.select("__row.*").select(*quoted(base.columns))
 
 
 def append_if_absent(
@@ -89,7 +89,8 @@ def lookup_with_default(
     """``df`` with the other columns of ``dim`` looked up by ``key``.
 
     Unknown and ``NULL`` keys get ``default``: one value for all looked-up columns, or a
-    mapping from column to value. A key that ``dim`` repeats is an error.
+    mapping from column to value, cast to the column's type. A ``NULL`` that ``dim`` holds
+    for a known key stays. A key that ``dim`` repeats is an error.
 
     One aggregation over ``dim`` checks both its keys and its size. A small ``dim`` is
     broadcast; a big one meets ``df`` in a sort-merge join, whose hot keys Spark's
@@ -100,9 +101,12 @@ def lookup_with_default(
     clash = sorted(set(values) & set(df.columns))
     if clash:
         raise ValueError(f"columns in both inputs: {clash}")
+    defaults = default if isinstance(default, Mapping) else dict.fromkeys(values, default)
+    if lacking := sorted(set(values) - set(defaults)):
+        raise ValueError(f"no default for: {lacking}")
 
     dim = dim.where(key_known(names))
-    per_key = dim.groupBy(*names).agg(
+    per_key = dim.groupBy(*quoted(names)).agg(
         F.count(F.lit(1)).alias("__rows"), F.sum(row_bytes(dim)).alias("__bytes")
     )
     most, size = per_key.agg(F.max("__rows"), F.sum("__bytes")).first()
@@ -110,9 +114,15 @@ def lookup_with_default(
         raise ValueError(f"{names} is not unique in the lookup table")
 
     small = (size or 0) <= max_broadcast_bytes
-    joined = df.join(F.broadcast(dim) if small else dim, names, "left")
-    defaults = default if isinstance(default, Mapping) else dict.fromkeys(values, default)
+    known = dim.withColumn("__known", F.lit(True))
+    joined = df.join(F.broadcast(known) if small else known.hint("merge"), names, "left")
+
+    def looked_up(name: str) -> Column:
+        value = F.lit(defaults[name]).cast(dim.schema[name].dataType)
+        unknown = F.col("__known").isNull()
+        return F.when(unknown, value).otherwise(F.col(f"`{name}`")).alias(name)
+
     return joined.select(
         *[F.col(f"`{name}`") for name in df.columns],
-        *[F.coalesce(F.col(f"`{v}`"), F.lit(defaults[v])).alias(v) for v in values],
+        *[looked_up(name) for name in values],
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions import has_marker, matching_lines, neutralised
-from linewright.plans.durable import durable
+from linewright.plans.durable import durable, require_durable
 from linewright.plans.keys import key_struct
 from linewright.plans.sizing import (
     BROADCAST_BYTES,
@@ -134,6 +134,9 @@ def ensure_header(
     group of it above those bounds; what is known of the groups is kept on shared
     storage, so that the texts are searched once.
     """
+    if hot_rows < 1 or hot_bytes < 1:
+        raise ValueError("hot_rows and hot_bytes must be positive")
+    require_durable(df)
     array = _header_array(df, group, text, marker, header)
     facts = _group_facts(df, group, text, marker)
     same_group = key_struct(group) == F.col("__group")
@@ -150,7 +153,7 @@ def ensure_header(
     cold_marked = facts.where(~is_hot & F.col("__marked")).select("__group")
     kept_hot = df.join(F.broadcast(hot_marked), same_group, "left_semi")
     cold = df.join(F.broadcast(hot.select("__group")), same_group, "left_anti")
-    kept_cold = cold.join(cold_marked, same_group, "left_semi")
+    kept_cold = cold.join(cold_marked.hint("merge"), same_group, "left_semi")
     return (
         kept_hot.unionByName(kept_cold).unionByName(_header_for(facts, group, array))
     )

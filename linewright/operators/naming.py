@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from linewright.functions import path_stem
-from linewright.plans.durable import durable
+from linewright.plans.durable import durable, require_durable
 from linewright.plans.keys import key_names
 from linewright.plans.pruning import with_keys_of
 from linewright.plans.rows import is_orderable
@@ -115,6 +115,9 @@ def allocate_free_names(
     """
     if "name" in requests.columns:
         raise ValueError("requests already has a column 'name'")
+    if hot_rows < 1:
+        raise ValueError(f"hot_rows must be positive, not {hot_rows}")
+    require_durable(requests)
     orders = key_names(order)
     # Other columns break ties, so that a task run again repeats itself.
     orders += [

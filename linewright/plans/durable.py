@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,7 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors reach")
-    return tempfile.mkdtemp(prefix="linewright-")
+    folder = tempfile.mkdtemp(prefix="linewright-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def require_durable(df: DataFrame) -> None:
+    """Raise now if ``df`` could not be kept, for operators that keep it only when big."""
+    shared_dir(df.sparkSession)
+    unfit = [
+        field.name
+        for field in df.schema.fields
+        if isinstance(field.dataType, (T.CalendarIntervalType, T.NullType))
+    ]
+    if unfit:
+        raise TypeError(f"Parquet cannot hold the types of: {unfit}")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -13,6 +13,11 @@ def key_names(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def quoted(names: Sequence[str]) -> list[str]:
+    """Column names as expressions, so that dots in them are not read as field access."""
+    return [f"`{name}`" for name in names]
+
+
 def key_struct(key: str | Sequence[str]) -> Column:
     """The key as one struct.
 

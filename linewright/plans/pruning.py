@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.plans.keys import key_names, key_struct
+from linewright.plans.keys import key_names, key_struct, quoted
 from linewright.plans.sizing import BROADCAST_BYTES, fits_broadcast
 
 
@@ -22,14 +22,15 @@ def keys_worth_comparing(
     small: DataFrame,
     key: str | Sequence[str],
     max_broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Keys of ``large``; only those that ``small`` has too, if ``small`` proves small.
+) -> tuple[DataFrame, bool]:
+    """Keys of ``large``; only those that ``small`` has too, if ``small`` proves small, and
+    whether it did.
 
     The reduction is a broadcast semi join inside the scan of ``large``. If ``small`` is
     too big for that, all keys come back and the caller's own aggregation deals with them.
     """
     names = key_names(key)
-    keys, wanted = large.select(*names), small.select(*names)
+    keys, wanted = large.select(*quoted(names)), small.select(*quoted(names))
     if fits_broadcast(wanted, max_broadcast_bytes):
-        return with_keys_of(keys, wanted, names)
-    return keys
+        return with_keys_of(keys, wanted, names), True
+    return keys, False

@@ -90,17 +90,22 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("user_id", "event_id", "event_type", "value")
 
 
-def allocate_free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def allocate_free_names(spark: SparkSession, sf_dir: str, **sizes: Any) -> DataFrame:
     """Part names made unique; name and size, with size 1 as none, are taken already."""
     part = _table(spark, sf_dir, "part")
     less_one = F.col("p_size") - 1
     number = F.when(less_one > 0, less_one.cast("string")).otherwise("")
     taken = part.select(F.concat("p_name", number).alias("taken"))
     requests = part.select("p_partkey", "p_name")
-    named = lw.allocate_free_names(requests, taken, "p_name", "p_partkey")
+    named = lw.allocate_free_names(requests, taken, "p_name", "p_partkey", **sizes)
     return named.select("p_partkey", "name")
 
 
+def allocate_free_names_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with nearly every base cut into blocks."""
+    return allocate_free_names(spark, sf_dir, hot_rows=20)
+
+
 def stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lw.stem_counts(_table(spark, sf_dir, "pages"), "url", "none")
 
@@ -124,6 +129,18 @@ def lookup_labels_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_labels(spark, sf_dir, **BY_SHUFFLE)
 
 
+def lookup_null_values(spark: SparkSession, sf_dir: str, **sizes: Any) -> DataFrame:
+    """A lookup table that holds NULL for known keys."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    quality = F.nullif(F.col("quality"), F.lit(0)).alias("quality")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", quality)
+    return lw.lookup_with_default(documents, labels, "doc_id", -1, **sizes)
+
+
+def lookup_null_values_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_null_values(spark, sf_dir, **BY_SHUFFLE)
+
+
 def classify_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event gives one of the fixed replies; all but sign-ups may be skipped."""
     replies = F.array(*[F.lit(reply) for reply in REPLIES])
@@ -215,10 +232,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         append_if_absent_by_shuffle,
         latest_per_key,
         allocate_free_names,
+        allocate_free_names_by_blocks,
         stem_counts,
         lookup_with_default,
         lookup_labels,
         lookup_labels_by_shuffle,
+        lookup_null_values,
+        lookup_null_values_by_shuffle,
         classify_replies,
         reconcile_digests,
         missing_inputs,
@@ -327,6 +347,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, source, coalesce(quality, -1)::INTEGER AS quality
         FROM documents LEFT JOIN labels USING (doc_id)
     """,
+    "lookup_null_values": """
+        SELECT d.doc_id, source,
+               CASE WHEN l.doc_id IS NULL THEN -1 ELSE nullif(quality, 0) END::INTEGER
+               AS quality
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+    """,
     "classify_replies": """
         WITH replies AS (
             SELECT ['y', 'yes please', ' YES ', 'n', '', 'yEs', 'y' || chr(10), 'Y']
@@ -334,8 +360,7 @@ ORACLE_SQL: dict[str, str] = {
                    event_type <> 'signup' AS optional
             FROM events
         )
-        SELECT CASE WHEN regexp_full_match(reply, '[ \\t]*([yY]|[yY][eE][sS])[ \\t]*')
-                    THEN 'proceed'
+        SELECT CASE WHEN lower(trim(reply, ' ' || chr(9))) IN ('y', 'yes') THEN 'proceed'
                     WHEN optional THEN 'skip' ELSE 'abort' END AS outcome,
                count(*)::BIGINT AS n
         FROM replies GROUP BY outcome
@@ -385,5 +410,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents WHERE NOT contains(text, 'GNU')
     """,
 }
-for _name in ("append_if_absent", "lookup_labels", "missing_inputs"):
+for _name in ("append_if_absent", "lookup_labels", "lookup_null_values", "missing_inputs"):
     ORACLE_SQL[f"{_name}_by_shuffle"] = ORACLE_SQL[_name]
+ORACLE_SQL["allocate_free_names_by_blocks"] = ORACLE_SQL["allocate_free_names"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -19,7 +21,21 @@ def replace_groups(df: DataFrame, path: str, group: str) -> None:
 
     The table is laid out by ``group``; folders of groups absent from ``df`` stay as they
     are, so the rows that did not change are not written again.
+
+    An error, with nothing written, where that would not replace them: if the table's files
+    hold ``group`` themselves, or if a group has no folder of its very name. Folder names
+    are text; read the table with ``group`` as a string, or ``01`` comes back as 1.
     """
+    spark = df.sparkSession
+    files = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    if group in files.columns:
+        raise ValueError(f"the table at {path} is not laid out by {group!r}")
+    as_text = T.StructType([*files.schema.fields, T.StructField(group, T.StringType())])
+    folders = spark.read.schema(as_text).parquet(path).select(F.col(f"`{group}`").alias("g"))
+    mine = df.select(F.col(f"`{group}`").cast("string").alias("g")).distinct()
+    strange = mine.join(folders.distinct(), mine["g"].eqNullSafe(folders["g"]), "left_anti").first()
+    if strange is not None:
+        raise ValueError(f"the table at {path} has no folder for group {strange['g']!r}")
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

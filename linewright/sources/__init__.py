@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Names of the files that Spark writes beside its data.
+_SPARKS_OWN = r"_SUCCESS|\..*\.crc|_(started|committed)_.*"
+
+
+def _refuse_skipped(spark: SparkSession, path: str | list[str]) -> None:
+    """Raise if a file or folder at ``path`` is one that Spark's readers leave out.
+
+    The file system looks for the names; only those found come back.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for one in [path] if isinstance(path, str) else path:
+        root = hadoop.Path(one)
+        store = root.getFileSystem(conf)
+        found = [root] if root.getName()[:1] in ("_", ".") else []
+        level = one.rstrip("/")
+        while store.globStatus(hadoop.Path(level)):
+            skipped = store.globStatus(hadoop.Path(f"{level}/[._]*")) or []
+            found += [status.getPath() for status in skipped]
+            level += "/*"
+        names = [str(p) for p in found if not re.fullmatch(_SPARKS_OWN, p.getName())]
+        if names:
+            raise ValueError(f"Spark's readers pass over: {sorted(names)[:5]}")
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows ``(file, value)``, one per ``\\n``-ended line; ``\\r`` stays part of the line.
 
     Uncompressed files are split into tasks by size, so one huge file is read in parallel.
-    Subfolders are read too.
+    Subfolders are read too. Spark passes over names that begin with ``.`` or ``_``; such a
+    file is an error here, other than the marks and checksums that Spark itself writes.
     """
+    _refuse_skipped(spark, path)
     lines = (
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
@@ -24,8 +53,10 @@ def digest_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows ``(key, md5)``, one per file under ``path``; ``key`` is the file name.
 
     A file is one value here, so Spark refuses files above 2 GB with an error. Spark's
-    file sources pass over empty files, so these have no row.
+    file sources pass over empty files, so these have no row. Names that begin with ``.``
+    or ``_`` are an error, as in ``read_lines``.
     """
+    _refuse_skipped(spark, path)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -37,12 +68,29 @@ def digest_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows ``(key, md5)`` from checksum lists, lines of a digest, two characters, a name."""
-    # Fixed format of such a line: 32 hex digits, a blank, a blank or "*", the name.
-    entry = r"\A([0-9a-fA-F]{32}) [ *](.+)\z"
-    lines = read_lines(spark, path).where(F.col("value").rlike(entry))
-    return lines.select(
-        F.regexp_extract("value", entry, 2).alias("key"),
-        F.lower(F.regexp_extract("value", entry, 1)).alias("md5"),
-    )
+def read_manifest(
+    spark: SparkSession, path: str | list[str], *, strict: bool = True
+) -> DataFrame:
+    """Rows ``(key, md5)`` from checksum lists, of either form that such tools write.
+
+    Lines may end in ``\\r\\n``; blank ones are passed over. A line that is no entry is an
+    error when it is read, or passed over if ``strict`` is off.
+    """
+    # Fixed formats: 32 hex digits, a blank, a blank or "*", the name; or the tagged form.
+    entry = r"\A([0-9a-fA-F]{32}) [ *]([^\r]+)\r?\z"
+    tagged = r"\AMD5 \(([^\r]+)\) = ([0-9a-fA-F]{32})\r?\z"
+    line = F.col("value")
+    plain, marked = line.rlike(entry), line.rlike(tagged)
+    lines = read_lines(spark, path).where(F.trim(F.regexp_replace(line, r"\r\z", "")) != "")
+    if not strict:
+        lines = lines.where(plain | marked)
+
+    def part(in_plain: int, in_tagged: int) -> Column:
+        other = F.raise_error(F.concat(F.lit("no checksum entry: "), line))
+        return (
+            F.when(plain, F.regexp_extract(line, entry, in_plain))
+            .when(marked, F.regexp_extract(line, tagged, in_tagged))
+            .otherwise(other.cast("string"))
+        )
+
+    return lines.select(part(2, 1).alias("key"), F.lower(part(1, 2)).alias("md5"))

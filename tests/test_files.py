@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 import linewright as lw
 
 
@@ -36,7 +38,7 @@ def test_digests_of_files_against_a_manifest(spark, tmp_path):
         f"{good.upper()} *good\n{other}  bad file\n{other}  gone\nnot a checksum line\n"
     )
     status = lw.reconcile_digests(
-        lw.digest_files(spark, str(files)), lw.read_manifest(spark, str(lists)), "key"
+        lw.digest_files(spark, str(files)), lw.read_manifest(spark, str(lists), strict=False), "key"
     )
     assert {tuple(row) for row in status.collect()} == {
         ("good", "ok"), ("bad file", "failed"), ("gone", "missing"), ("new", "unlisted"),
@@ -76,3 +78,39 @@ def test_replacing_groups_in_place(spark, tmp_path):
         found = spark.read.parquet(path).select("file", "value").collect()
         assert sorted(map(tuple, found)) == [("bare", "M"), ("marked", "has M"), ("marked", "more")]
     assert kept == sorted(p.name for p in (tmp_path / "table" / "file=marked").glob("*.parquet"))
+
+
+def test_files_that_spark_would_pass_over_are_an_error(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in (".bash_profile", "_conf", "sub/.hidden"):
+        (tmp_path / name).write_text("line\n")
+    for path in (tmp_path / ".bash_profile", tmp_path / "_conf", tmp_path / "sub", tmp_path):
+        for read in (lw.read_lines, lw.digest_files):
+            with pytest.raises(ValueError, match="pass over"):
+                read(spark, str(path))
+
+
+def test_both_forms_of_checksum_lists(spark, tmp_path):
+    digest = "0" * 32
+    (tmp_path / "crlf").write_bytes(f"{digest}  a b\r\n\r\n{digest} *s1/x.txt\r\n".encode())
+    (tmp_path / "tagged").write_text(f"MD5 (tag (1)) = {digest}\n")
+    found = lw.read_manifest(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [("a b", digest), ("s1/x.txt", digest), ("tag (1)", digest)]
+    (tmp_path / "other").write_text("no entry\n")
+    with pytest.raises(Exception, match="no checksum entry"):
+        lw.read_manifest(spark, str(tmp_path)).collect()
+
+
+def test_replacing_groups_is_refused_where_it_would_hide_rows(spark, tmp_path):
+    flat, laid = str(tmp_path / "flat"), str(tmp_path / "laid")
+    df = spark.createDataFrame([("01", "has M"), ("2", "bare")], "file string, value string")
+    lw.append_rows(df, flat)
+    with pytest.raises(ValueError, match="not laid out"):
+        lw.replace_groups(df, flat, "file")
+    assert spark.read.parquet(flat).count() == 2
+    lw.append_rows(df, laid, partition_by=["file"])
+    with pytest.raises(ValueError, match="no folder"):
+        lw.replace_groups(df.selectExpr("cast(file AS int) AS file", "value"), laid, "file")
+    lw.replace_groups(df.where("file = '01'").selectExpr("file", "'new' AS value"), laid, "file")
+    found = spark.read.schema("value string, file string").parquet(laid).collect()
+    assert sorted((row.file, row.value) for row in found) == [("01", "new"), ("2", "bare")]

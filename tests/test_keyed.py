@@ -132,3 +132,24 @@ def test_lookup_refuses_repeated_keys_and_clashing_columns(spark):
     nulls = spark.createDataFrame([(None, "a"), (None, "b")], "code string, label string")
     found = lw.lookup_with_default(codes.select("code"), nulls, "code", "green")
     assert rows(found) == [("-r", "green")]
+
+
+def test_lookup_keeps_nulls_of_known_keys(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "key string")
+    dim = spark.createDataFrame([("a", None, 1)], "key string, label string, n int")
+    for size in (1 << 20, 0):
+        found = lw.lookup_with_default(
+            df, dim, "key", {"label": "dflt", "n": 7}, max_broadcast_bytes=size
+        )
+        assert found.schema["n"].dataType.simpleString() == "int"
+        rows = sorted(map(tuple, found.collect()), key=str)
+        assert rows == [("a", None, 1), ("b", "dflt", 7), (None, "dflt", 7)]
+    with pytest.raises(ValueError, match="no default"):
+        lw.lookup_with_default(df, dim, "key", {"label": "x"})
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "`my.key` string, `n.o` int")
+    assert [tuple(r) for r in lw.latest_per_key(df, "my.key", "n.o").collect()] == [("a", 2)]
+    assert lw.append_if_absent(df, df, "my.key", "n.o").count() == 2
+    assert lw.missing_inputs(df, df.limit(0), "my.key").count() == 1

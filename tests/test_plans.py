@@ -176,6 +176,9 @@ def test_a_cluster_must_name_the_shared_folder():
         def get(self, name, default=None):
             return dict.get(self, name, default)
 
+        def set(self, name, value):
+            self[name] = value
+
     class Session:
         def __init__(self, **conf):
             self.conf = Conf(conf)
@@ -184,4 +187,22 @@ def test_a_cluster_must_name_the_shared_folder():
         shared_dir(Session(**{"spark.master": "yarn"}))
     named = Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///shared/"})
     assert shared_dir(named) == "hdfs:///shared"
-    assert "linewright-" in shared_dir(Session(**{"spark.master": "local[2]"}))
+    local = Session(**{"spark.master": "local[2]"})
+    assert "linewright-" in shared_dir(local) and shared_dir(local) == shared_dir(local)
+
+
+@pytest.mark.parametrize(
+    "name", [n for n in sorted(QUERIES) if n.startswith("lookup_") and n.endswith("_by_shuffle")]
+)
+def test_shuffled_lookups_are_not_broadcast_by_spark_itself(spark, name):
+    found = QUERIES[name](spark, SF_DIR)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in final and "BroadcastHashJoin" not in final
+
+
+def test_shuffled_appends_are_not_broadcast_by_spark_itself(spark):
+    found = QUERIES["append_if_absent_by_shuffle"](spark, SF_DIR)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in final and "BroadcastHashJoin" not in final
