@@ -27,7 +27,7 @@ from linewright.operators.lines import (
 from linewright.operators.naming import allocate_free_names, stem_counts
 from linewright.operators.replies import classify_replies
 from linewright.sinks import append_rows, replace_groups
-from linewright.sources import digest_files, read_lines, read_manifest
+from linewright.sources import digest_files, read_lines, read_manifest, read_texts
 
 __all__ = [
     "IncompleteInputs",
@@ -48,6 +48,7 @@ __all__ = [
     "neutralise_lines",
     "read_lines",
     "read_manifest",
+    "read_texts",
     "reconcile_digests",
     "replace_groups",
     "rows_to_append",

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from linewright.functions import has_marker, matching_lines, neutralised
 from linewright.plans.durable import durable, require_durable
-from linewright.plans.keys import key_struct
+from linewright.plans.keys import key_struct, quoted
 from linewright.plans.sizing import (
     BROADCAST_BYTES,
     HOT_BYTES,
     HOT_ROWS,
     fits_broadcast,
+    hot_bounds,
+    row_bytes,
 )
 
 
@@ -81,7 +83,7 @@ def _group_facts(df: DataFrame, group: str, text: str, marker: str) -> DataFrame
     """Per group: its key, its size, and whether any of its texts has the marker."""
     return df.groupBy(key_struct(group).alias("__group")).agg(
         F.count(F.lit(1)).alias("__rows"),
-        F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("__bytes"),
+        F.sum(row_bytes(df)).alias("__bytes"),
         F.bool_or(F.coalesce(has_marker(text, marker), F.lit(False))).alias("__marked"),
     )
 
@@ -107,7 +109,7 @@ def header_rows(
     """
     array = _header_array(df, group, text, marker, header)
     facts = _group_facts(df, group, text, marker)
-    return _header_for(facts, group, array).select(*df.columns)
+    return _header_for(facts, group, array).select(*quoted(df.columns))
 
 
 def ensure_header(
@@ -129,10 +131,10 @@ def ensure_header(
 
     Texts are not shuffled while the list of groups is small enough to broadcast, which
     one pass over the group column checks. With more groups, those above ``hot_rows``
-    rows or ``hot_bytes`` of text still meet a broadcast: there are at most
-    (all rows / ``hot_rows`` + all bytes / ``hot_bytes``) of them. The rest shuffles, no
-    group of it above those bounds; what is known of the groups is kept on shared
-    storage, so that the texts are searched once.
+    rows or ``hot_bytes`` of whole rows still meet a broadcast. The bounds grow where the
+    data does, so that there are never more than 2 * ``MOST_HOT`` such groups. The rest
+    shuffles, no group of it above the bounds; what is known of the groups is kept on
+    shared storage, so that the texts are searched once.
     """
     if hot_rows < 1 or hot_bytes < 1:
         raise ValueError("hot_rows and hot_bytes must be positive")
@@ -147,7 +149,9 @@ def ensure_header(
         return kept.unionByName(_header_for(facts, group, array))
 
     facts = durable(facts)
-    is_hot = (F.col("__rows") > hot_rows) | (F.col("__bytes") > hot_bytes)
+    rows, size = facts.agg(F.sum("__rows"), F.sum("__bytes")).first()
+    most_rows, most_bytes = hot_bounds(rows or 0, size or 0, hot_rows, hot_bytes)
+    is_hot = (F.col("__rows") > most_rows) | (F.col("__bytes") > most_bytes)
     hot = facts.where(is_hot).select("__group", "__marked")
     hot_marked = hot.where("__marked").select("__group")
     cold_marked = facts.where(~is_hot & F.col("__marked")).select("__group")

@@ -13,7 +13,13 @@ from linewright.plans.durable import durable, require_durable
 from linewright.plans.keys import key_names
 from linewright.plans.pruning import with_keys_of
 from linewright.plans.rows import is_orderable
-from linewright.plans.sizing import BROADCAST_BYTES, HOT_ROWS, row_bytes
+from linewright.plans.sizing import (
+    BROADCAST_BYTES,
+    HOT_BYTES,
+    HOT_ROWS,
+    MOST_HOT,
+    row_bytes,
+)
 
 
 def stem_counts(df: DataFrame, path: str, default: str) -> DataFrame:
@@ -72,21 +78,30 @@ def _check_bases(asked: DataFrame) -> int:
 
 
 def _hot_bases(
-    asked: DataFrame, numbers: DataFrame, hot_rows: int
-) -> list[tuple[str, int, bool]]:
-    """Bases with more than ``hot_rows`` requests and taken names, how many these are,
-    and whether there are requests.
+    asked: DataFrame, numbers: DataFrame, hot_rows: int, hot_bytes: int
+) -> list[tuple[str, int, bool, int]]:
+    """Bases whose requests and taken names are beyond a bound, how many these are,
+    whether there are requests, and their bytes.
 
-    At most (all rows / ``hot_rows``) entries.
+    At most ``MOST_HOT`` entries, the hottest ones: a base left out is above the bounds only
+    where all rows together are ``MOST_HOT`` times above them, and then by no more.
     """
-    counted = numbers.groupBy("__base").agg(F.count(F.lit(1)).alias("__rows"))
+    counted = numbers.groupBy("__base").agg(
+        F.count(F.lit(1)).alias("__rows"), F.sum(row_bytes(numbers)).alias("__bytes")
+    )
     per_base = (
         asked.withColumn("__asked", F.lit(True))
         .unionByName(counted.withColumn("__asked", F.lit(False)))
         .groupBy("__base")
-        .agg(F.sum("__rows").alias("__rows"), F.bool_or("__asked").alias("__asked"))
+        .agg(
+            F.sum("__rows").alias("__rows"),
+            F.bool_or("__asked").alias("__asked"),
+            F.sum("__bytes").alias("__bytes"),
+        )
     )
-    return [tuple(row) for row in per_base.where(F.col("__rows") > hot_rows).collect()]
+    heat = F.greatest(F.col("__rows") / hot_rows, F.col("__bytes") / hot_bytes)
+    hottest = per_base.where(heat > 1).orderBy(heat.desc(), "__base").limit(MOST_HOT)
+    return [tuple(row) for row in hottest.collect()]
 
 
 def allocate_free_names(
@@ -96,6 +111,7 @@ def allocate_free_names(
     order: str | Sequence[str],
     *,
     hot_rows: int = HOT_ROWS,
+    hot_bytes: int = HOT_BYTES,
     max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``requests`` with a column ``name``: the lowest free of base, base1, base2, ...
@@ -108,15 +124,15 @@ def allocate_free_names(
     free numbers below it. The request of rank ``r`` therefore gets ``r`` plus the count
     of taken numbers with ``t - j <= r``.
 
-    A base with at most ``hot_rows`` requests and taken numbers goes through one task.
-    Bigger ones are cut into blocks that are numbered in parallel. Taken names of bases
+    A base goes through one task if its requests and taken numbers are at most ``hot_rows``
+    and take at most ``hot_bytes``. Bigger ones are cut into blocks that are numbered in parallel. Taken names of bases
     nobody asks for are dropped before any shuffle, if the list of bases asked for is
     small enough to broadcast. One job checks the bases, a second finds the big ones.
     """
     if "name" in requests.columns:
         raise ValueError("requests already has a column 'name'")
-    if hot_rows < 1:
-        raise ValueError(f"hot_rows must be positive, not {hot_rows}")
+    if hot_rows < 1 or hot_bytes < 1:
+        raise ValueError("hot_rows and hot_bytes must be positive")
     require_durable(requests)
     orders = key_names(order)
     # Other columns break ties, so that a task run again repeats itself.
@@ -127,16 +143,21 @@ def allocate_free_names(
     ]
     numbers = _taken_numbers(taken)
     asked = requests.groupBy(F.col(f"`{base}`").alias("__base")).agg(
-        F.count(F.lit(1)).alias("__rows")
+        F.count(F.lit(1)).alias("__rows"), F.sum(row_bytes(requests)).alias("__bytes")
     )
     if _check_bases(asked) <= max_broadcast_bytes:
         numbers = with_keys_of(numbers, asked, "__base")
-    hot = _hot_bases(asked, numbers, hot_rows)
+    hot = _hot_bases(asked, numbers, hot_rows, hot_bytes)
     if not hot:
         return _serve_whole_bases(requests, numbers, base, orders)
 
     spark = requests.sparkSession
-    hot_bases = F.broadcast(spark.createDataFrame(hot, _HOT))
+    n_rows = sum(rows for _, rows, _, _ in hot)
+    widest = max(size / rows for _, rows, _, size in hot)
+    block = max(1, min(hot_rows, int(hot_bytes / widest)), n_rows // MOST_HOT)
+    hot_bases = F.broadcast(
+        spark.createDataFrame([entry[:3] for entry in hot], _HOT)
+    )
     is_hot_request = F.col(f"`{base}`") == F.col("__hot")
     is_hot_number = F.col("__base") == F.col("__hot")
     whole = _serve_whole_bases(
@@ -154,8 +175,8 @@ def allocate_free_names(
         .distinct(),
         base,
         orders,
-        tasks=2 * -(-sum(size for _, size, _ in hot) // hot_rows),
-        block=hot_rows,
+        tasks=2 * -(-n_rows // block),
+        block=block,
     )
     return whole.unionByName(split)
 
@@ -170,7 +191,7 @@ def _serve_whole_bases(
         F.lit(None).cast("bigint").alias("__number"),
         F.struct("*").alias("__row"),
     )
-    rows = numbers.distinct().select(
+    rows = numbers.select(
         "__base",
         F.lit(0).alias("__kind"),
         "__number",
@@ -180,16 +201,21 @@ def _serve_whole_bases(
     each_kind = Window.partitionBy("__base", "__kind").orderBy(
         "__number", *_in_row(orders)
     )
-    rank = F.row_number().over(each_kind).cast("bigint") - 1
+    is_taken = F.col("__kind") == 0
     # Of a taken number the free numbers below it, of a request its rank.
-    place = F.when(F.col("__kind") == 0, F.col("__number") - rank).otherwise(rank)
+    place = F.when(is_taken, F.col("__number") - F.dense_rank().over(each_kind) + 1).otherwise(
+        F.row_number().over(each_kind).cast("bigint") - 1
+    )
+    # Numbers taken repeatedly meet here, so they need no shuffle of their own.
+    again = is_taken & (F.lag("__number").over(each_kind) == F.col("__number"))
     merged = (
         Window.partitionBy("__base")
         .orderBy("__place", "__kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.withColumn("__place", place)
+        rows.select("*", place.alias("__place"), again.alias("__again"))
+        .where(~F.coalesce("__again", F.lit(False)))
         .withColumn("__taken", F.sum(1 - F.col("__kind")).over(merged))
         .where("__kind = 1")
         .select("__row.*", _handed_out())

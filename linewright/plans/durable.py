@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or else given to ``setCheckpointDir``.
 
-    Where it is unset, a local session takes a temporary folder. A cluster must name one:
-    its executors share no temporary folder.
+    Where there is neither, a local session takes a temporary folder. A cluster must name
+    one: its executors share no temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
@@ -38,8 +38,13 @@ def require_durable(df: DataFrame) -> None:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has been written to."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has been written to.
+
+    All paths of an application are in one folder of its own, which can be deleted once the
+    application has ended.
+    """
+    own = f"linewright-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark)}/{own}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:

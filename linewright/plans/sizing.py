@@ -13,6 +13,10 @@ BROADCAST_BYTES = 32 << 20
 HOT_ROWS = 5_000_000
 HOT_BYTES = 256 << 20
 
+# Groups beyond each bound are at most so many, whatever the data: their list is collected
+# or broadcast.
+MOST_HOT = 100_000
+
 # Cost of one row and of one field in a broadcast hash table, generously.
 _ROW_BYTES = 64
 _FIELD_BYTES = 16
@@ -40,3 +44,9 @@ def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
         return False
     total = df.agg(F.sum(row_bytes(df))).first()[0]
     return (total or 0) <= max_bytes
+
+
+def hot_bounds(rows: int, size: int, hot_rows: int, hot_bytes: int) -> tuple[int, int]:
+    """Rows and bytes beyond which a group of a table of so many does not go through one
+    task: those asked for, but no more than ``MOST_HOT`` groups can be beyond either."""
+    return max(hot_rows, rows // MOST_HOT), max(hot_bytes, size // MOST_HOT)

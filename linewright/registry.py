@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import linewright as lw
@@ -32,12 +32,44 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "read_lines")
     documents = _table(spark, sf_dir, "documents").select("source", "text")
     documents.write.partitionBy("source").text(folder, lineSep="\n")
-    source = F.regexp_extract("file", "/source=([^/]+)/", 1)
-    lines = lw.read_lines(spark, folder).withColumn("source", source)
-    return lines.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.octet_length("value")).alias("n_bytes"),
+    source = F.regexp_extract("file", "^source=([^/]+)/", 1).alias("source")
+    line = F.md5("value").alias("line_md5")
+    lines = lw.read_lines(spark, folder).select(source, line)
+    return lines.groupBy("source", "line_md5").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items written as files and read back whole, their lines in order."""
+    folder = fresh_dir(spark, "read_texts")
+    _items_as_files(spark, sf_dir, folder)
+    texts = lw.neutralise_lines(lw.read_texts(spark, folder), "text", "e")
+    return texts.select(_item_of("file"), F.md5("text").alias("text_md5"))
+
+
+def _items_as_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Each benchmark item as a file below a folder of its number."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    items.repartition("item_id").write.partitionBy("item_id").text(folder, lineSep="\n")
+
+
+def _item_of(file: str) -> Column:
+    return F.regexp_extract(file, "^item_id=([0-9]+)/", 1).cast("bigint").alias("item_id")
+
+
+def reconcile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as files against a checksum list, wrong for every third item."""
+    folder, listing = fresh_dir(spark, "files"), fresh_dir(spark, "checksums")
+    _items_as_files(spark, sf_dir, folder)
+    written = lw.digest_files(spark, folder).select("key", _item_of("key"))
+    items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    body = F.when(F.col("item_id") % 3 == 0, F.lit("altered")).otherwise(F.col("text"))
+    entry = F.concat(F.md5(F.concat(body, F.lit("\n"))), F.lit("  "), "key", F.lit("\r"))
+    lines = written.join(items, "item_id").select(entry.alias("value"))
+    lines.write.text(listing, lineSep="\n")
+    found = lw.reconcile_digests(
+        lw.digest_files(spark, folder), lw.read_manifest(spark, listing), "key"
     )
+    return found.select(_item_of("key"), "status")
 
 
 def count_matching_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,10 +252,33 @@ def ensure_header_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guarded.select("doc_id", F.md5("text").alias("text_md5"))
 
 
+def ensure_header_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups too big for one task, on the way that many groups take."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    guarded = lw.ensure_header(
+        documents, "source", "text", MARKER, HEADER, hot_rows=20, **BY_SHUFFLE
+    )
+    return guarded.select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
+def replace_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stored table, in place."""
+    folder = fresh_dir(spark, "replace_groups")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    lw.append_rows(documents, folder, partition_by=["source"])
+    stored = spark.read.schema(documents.schema).parquet(folder)
+    headers = lw.header_rows(stored, "source", "text", MARKER, HEADER)
+    lw.replace_groups(headers, folder, "source")
+    spark.catalog.refreshByPath(folder)
+    now = spark.read.schema(documents.schema).parquet(folder)
+    return now.select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         read_lines,
+        read_texts,
         count_matching_lines,
         count_matching_rows,
         having_marker,
@@ -241,11 +296,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lookup_null_values_by_shuffle,
         classify_replies,
         reconcile_digests,
+        reconcile_files,
         missing_inputs,
         missing_inputs_by_shuffle,
         append_rows,
         ensure_header,
         ensure_header_by_shuffle,
+        ensure_header_hot,
+        replace_groups,
     )
 }
 
@@ -254,9 +312,16 @@ ORACLE_SQL: dict[str, str] = {
         WITH lines AS (
             SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents
         )
-        SELECT source, count(*)::BIGINT AS n_lines,
-               sum(octet_length(encode(line)))::BIGINT AS n_bytes
-        FROM lines GROUP BY source
+        SELECT source, md5(line) AS line_md5, count(*)::BIGINT AS n
+        FROM lines GROUP BY source, line_md5
+    """,
+    "read_texts": """
+        SELECT item_id, md5(array_to_string(list_transform(
+                   string_split(text, chr(10)),
+                   lambda line: CASE
+                       WHEN left(line, 1) <> '#' AND contains(substr(line, 2), 'e')
+                       THEN '#' || line ELSE line END), chr(10)) || chr(10)) AS text_md5
+        FROM benchmark
     """,
     "count_matching_lines": """
         SELECT doc_id,
@@ -380,6 +445,10 @@ ORACLE_SQL: dict[str, str] = {
                          WHEN found = listed THEN 'ok' ELSE 'failed' END AS status
         FROM data FULL JOIN manifest USING (key)
     """,
+    "reconcile_files": """
+        SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status
+        FROM benchmark
+    """,
     "missing_inputs": """
         SELECT DISTINCT doc_id FROM documents
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)
@@ -413,3 +482,5 @@ ORACLE_SQL: dict[str, str] = {
 for _name in ("append_if_absent", "lookup_labels", "lookup_null_values", "missing_inputs"):
     ORACLE_SQL[f"{_name}_by_shuffle"] = ORACLE_SQL[_name]
 ORACLE_SQL["allocate_free_names_by_blocks"] = ORACLE_SQL["allocate_free_names"]
+for _name in ("ensure_header_hot", "replace_groups"):
+    ORACLE_SQL[_name] = ORACLE_SQL["ensure_header"]

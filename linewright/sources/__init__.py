@@ -1,4 +1,4 @@
-"""Readers: text files by line, files by digest, digest manifests."""
+"""Readers: text files by line or whole, files by digest, digest manifests."""
 
 from __future__ import annotations
 
@@ -33,12 +33,41 @@ def _refuse_skipped(spark: SparkSession, path: str | list[str]) -> None:
             raise ValueError(f"Spark's readers pass over: {sorted(names)[:5]}")
 
 
+def _relative(spark: SparkSession, path: str | list[str], encoded: Column) -> Column:
+    """The name of a file below the folder it was read from, as plain text.
+
+    Of a path with wildcards, the folder is what stands before the first of them.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folders = set()
+    for one in [path] if isinstance(path, str) else path:
+        root = hadoop.Path(one)
+        store = root.getFileSystem(conf)
+        if re.search(r"[*?\[{]", one):
+            while re.search(r"[*?\[{]", root.toString()):
+                root = root.getParent()
+        elif store.getFileStatus(root).isFile():
+            root = root.getParent()
+        folders.add(store.makeQualified(root).toUri().getPath().rstrip("/") + "/")
+    # A plus sign stands for itself in a path.
+    whole = F.url_decode(F.regexp_replace(encoded, r"\+", "%2B"))
+    # Without scheme and host.
+    name = F.regexp_replace(whole, r"\A[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    below = [
+        F.when(F.startswith(name, F.lit(folder)), F.substring(name, len(folder) + 1, 1 << 30))
+        for folder in sorted(folders, key=len, reverse=True)
+    ]
+    return F.coalesce(*below, name)
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows ``(file, value)``, one per ``\\n``-ended line; ``\\r`` stays part of the line.
 
     Uncompressed files are split into tasks by size, so one huge file is read in parallel.
-    Subfolders are read too. Spark passes over names that begin with ``.`` or ``_``; such a
-    file is an error here, other than the marks and checksums that Spark itself writes.
+    Subfolders are read too, and ``file`` is the path below ``path``. Spark passes over names
+    that begin with ``.`` or ``_``; such a file is an error here, other than the marks and
+    checksums that Spark itself writes.
     """
     _refuse_skipped(spark, path)
     lines = (
@@ -46,26 +75,54 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .text(path)
     )
-    return lines.select(F.col("_metadata.file_path").alias("file"), "value")
+    file = _relative(spark, path, F.col("_metadata.file_path"))
+    return lines.select(file.alias("file"), "value")
+
+
+def _with_empty(spark: SparkSession, files: DataFrame, value: str, empty: Column) -> DataFrame:
+    """``(__file, value)`` of all files, with ``empty`` for those Spark has no row for.
+
+    Spark's file sources list empty files but do not read them. Only names are compared;
+    the list of them, which Spark keeps in the driver anyway, gives those to compare with.
+    """
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "name string")
+    read = files.select(_plain("_metadata.file_path"), value)
+    found = F.coalesce(F.col(value), empty).alias(value)
+    return listed.select(_plain("name")).join(read, "__file", "left").select("__file", found)
+
+
+def _plain(name: str) -> Column:
+    """A file's name; an empty host is written in two ways."""
+    return F.regexp_replace(name, r"\A([A-Za-z][A-Za-z0-9+.-]*:)///", "$1/").alias("__file")
+
+
+def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows ``(file, text)``, one per file, its lines in order; files as in ``read_lines``.
+
+    A file is one value and must be far below 2 GB; send big files to ``read_lines``.
+    """
+    _refuse_skipped(spark, path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    texts = _with_empty(spark, files.withColumnRenamed("value", "text"), "text", F.lit(""))
+    return texts.select(_relative(spark, path, F.col("__file")).alias("file"), "text")
 
 
 def digest_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows ``(key, md5)``, one per file under ``path``; ``key`` is the file name.
+    """Rows ``(key, md5)``, one per file under ``path``, empty ones included.
 
-    A file is one value here, so Spark refuses files above 2 GB with an error. Spark's
-    file sources pass over empty files, so these have no row. Names that begin with ``.``
-    or ``_`` are an error, as in ``read_lines``.
+    ``key`` is the path below ``path``. A file is one value here, so Spark refuses files
+    above 2 GB with an error. Names that begin with ``.`` or ``_`` are an error, as in
+    ``read_lines``.
     """
     _refuse_skipped(spark, path)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
+        .withColumn("md5", F.md5("content"))
     )
-    return files.select(
-        F.substring_index("path", "/", -1).alias("key"),
-        F.md5("content").alias("md5"),
-    )
+    digests = _with_empty(spark, files, "md5", F.md5(F.lit("")))
+    return digests.select(_relative(spark, path, F.col("__file")).alias("key"), "md5")
 
 
 def read_manifest(

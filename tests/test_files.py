@@ -11,8 +11,8 @@ def test_read_lines_splits_at_newlines_only(spark, tmp_path):
     (tmp_path / "sub" / "two").write_bytes(b"\n\r\nlast")
     found = lw.read_lines(spark, str(tmp_path))
     assert found.columns == ["file", "value"]
-    assert sorted((row.file.rsplit("/", 1)[1], row.value) for row in found.collect()) == [
-        ("one", "a\rb"), ("one", "c"), ("two", ""), ("two", "\r"), ("two", "last"),
+    assert sorted((row.file, row.value) for row in found.collect()) == [
+        ("one", "a\rb"), ("one", "c"), ("sub/two", ""), ("sub/two", "\r"), ("sub/two", "last"),
     ]
 
 
@@ -36,12 +36,14 @@ def test_digests_of_files_against_a_manifest(spark, tmp_path):
     good, other = (hashlib.md5(c).hexdigest() for c in (b"\x00\xff", b"other"))
     (lists / "sums.md5").write_text(
         f"{good.upper()} *good\n{other}  bad file\n{other}  gone\nnot a checksum line\n"
+        f"{hashlib.md5(b'').hexdigest()}  empty\n"
     )
     status = lw.reconcile_digests(
         lw.digest_files(spark, str(files)), lw.read_manifest(spark, str(lists), strict=False), "key"
     )
     assert {tuple(row) for row in status.collect()} == {
         ("good", "ok"), ("bad file", "failed"), ("gone", "missing"), ("new", "unlisted"),
+        ("empty", "ok"),
     }
 
 
@@ -114,3 +116,31 @@ def test_replacing_groups_is_refused_where_it_would_hide_rows(spark, tmp_path):
     lw.replace_groups(df.where("file = '01'").selectExpr("file", "'new' AS value"), laid, "file")
     found = spark.read.schema("value string, file string").parquet(laid).collect()
     assert sorted((row.file, row.value) for row in found) == [("01", "new"), ("2", "bare")]
+
+
+def test_files_are_named_below_the_folder_read(spark, tmp_path):
+    digest = {}
+    for name in ("a b.txt", "s1/x+y%.txt", "s2/x+y%.txt", "s2/ö.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+        digest[name] = hashlib.md5(name.encode()).hexdigest()
+    path = str(tmp_path)
+    assert dict(map(tuple, lw.digest_files(spark, path).collect())) == digest
+    assert {row.file for row in lw.read_lines(spark, path + "/").collect()} == set(digest)
+    assert {tuple(row) for row in lw.read_lines(spark, path).collect()} == {(n, n) for n in digest}
+    assert {row.file for row in lw.read_texts(spark, [f"{path}/s1", f"{path}/s2"]).collect()} == {
+        "x+y%.txt", "ö.txt",
+    }
+    assert [row.key for row in lw.digest_files(spark, f"{path}/a b.txt").collect()] == ["a b.txt"]
+    assert {row.key for row in lw.digest_files(spark, f"{path}/s*").collect()} == {
+        "s1/x+y%.txt", "s2/x+y%.txt", "s2/ö.txt",
+    }
+
+
+def test_whole_files_keep_their_lines_in_order(spark, tmp_path):
+    (tmp_path / "one").write_bytes("".join(f"{n} K\n" for n in range(999)).encode() + b"last\r")
+    (tmp_path / "empty").write_bytes(b"")
+    texts = lw.neutralise_lines(lw.read_texts(spark, str(tmp_path)), "text", "K")
+    assert dict(map(tuple, texts.collect())) == {
+        "one": "".join(f"#{n} K\n" for n in range(999)) + "last\r", "empty": "",
+    }

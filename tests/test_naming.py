@@ -2,8 +2,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import linewright as lw
+from linewright.operators import naming
 
 
 def one_by_one(requests, taken):
@@ -37,7 +39,14 @@ def test_sequence(spark, sizes):
 
 @pytest.mark.parametrize(
     "sizes",
-    [{}, {"max_broadcast_bytes": 0}, {"hot_rows": 7}, {"hot_rows": 7, "max_broadcast_bytes": 0}],
+    [
+        {},
+        {"max_broadcast_bytes": 0},
+        {"hot_rows": 7},
+        {"hot_rows": 7, "max_broadcast_bytes": 0},
+        {"hot_bytes": 2000},
+        {"hot_bytes": 1},
+    ],
 )
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_one_by_one(spark, seed, sizes):
@@ -130,3 +139,23 @@ def test_stem_counts(spark):
     df = spark.createDataFrame([(path,) for path in paths], "path string")
     found = {row.stem: row.n for row in lw.stem_counts(df, "path", "none").collect()}
     assert found == {"b.tar": 1, "x": 2, "": 3, "c": 1, "none": 1, "q.\n": 1}
+
+
+def test_no_more_bases_are_listed_than_the_ceiling(spark, monkeypatch):
+    monkeypatch.setattr(naming, "MOST_HOT", 3)
+    requests = [(i, "abcdefg"[i % 7]) for i in range(70)] + [(100 + i, "c") for i in range(9)]
+    asked = spark.createDataFrame(requests, "id bigint, base string").groupBy("base").count()
+    asked = asked.toDF("__base", "__rows").withColumn("__bytes", F.lit(1).cast("bigint"))
+    none = spark.createDataFrame([], "__base string, __number bigint")
+    hot = naming._hot_bases(asked, none, 1, 1 << 20)
+    assert [(base, rows) for base, rows, _, _ in hot] == [("c", 19), ("a", 10), ("b", 10)]
+    assert allocated(spark, requests, ["a1", "c5"], hot_rows=1) == one_by_one(requests, ["a1", "c5"])
+
+
+def test_a_base_of_wide_rows_goes_through_several_tasks(spark):
+    df = spark.range(200).selectExpr("id", "'x' AS base", "repeat('w', 10000) AS wide")
+    none = spark.createDataFrame([], "name string")
+    found = lw.allocate_free_names(df, none, "base", "id", hot_bytes=500_000)
+    per_task = found.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("wide"))).collect()
+    assert len(per_task) > 2
+    assert {row.name for row in found.collect()} == {"x", *(f"x{n}" for n in range(1, 200))}
