@@ -134,8 +134,9 @@ def allocate_free_names(spark: SparkSession, sf_dir: str, **sizes: Any) -> DataF
 
 
 def allocate_free_names_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with nearly every base cut into blocks."""
-    return allocate_free_names(spark, sf_dir, hot_rows=20)
+    """The same with nearly every base cut up, into some hundred pieces in all."""
+    n_rows = _table(spark, sf_dir, "part").count()
+    return allocate_free_names(spark, sf_dir, hot_rows=max(1, n_rows // 100))
 
 
 def stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
