@@ -35,6 +35,18 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     )
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with an aggregation of them by ``key``.
+
+    The aggregation leaves its result partitioned by ``key``, and Spark would join it where
+    it lies; adaptive execution splits a key with very many rows only where both sides are
+    shuffled for the join itself. The second condition, true of equal keys, brings that about.
+    """
+    named = counted.withColumnRenamed(key, "__key")
+    equal = (F.col(key) == F.col("__key")) & (F.hash(key) == F.hash("__key"))
+    return rows.join(named, equal).drop("__key")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[list]:
     """Lists of columns of at most ``rows`` rows; text columns come as bytes."""
     for batch in batches:

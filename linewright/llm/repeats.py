@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import batch, grouped, keyed, same_row, slices
+from linewright.llm.common import batch, grouped, join_counted, keyed, same_row, slices
 
 WINDOW = 35
 ANCHOR = 8
@@ -166,7 +166,7 @@ def repeated_spans(
     schema = f"key long, doc_id {id_type}, text_key long, at long"
     every = rows.mapInArrow(list_anchors, schema)
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = every.join(shared, "key").groupBy("doc_id", "text_key").agg(
+    kept = join_counted(every, shared, "key").groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("at", "key", (F.col("n") > crowded).alias("hot"))).alias("anchors")
     )
     member = pa.struct([("doc_id", id_field), ("text_key", pa.int64()), ("first", pa.int64())])
@@ -230,7 +230,7 @@ def repeated_spans(
     whole = pieces(True).select("piece", "members")
     again = whole.groupBy("piece").agg(F.sum(F.size("members")).alias("n")).where("n > 1")
     whole_spans = (
-        whole.join(again, "piece")
+        join_counted(whole, again, "piece")
         .select(F.explode("members").alias("member"))
         .select(
             "member.doc_id",

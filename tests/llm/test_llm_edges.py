@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from linewright.llm import (
     licenses,
@@ -22,6 +23,7 @@ from linewright.llm import (
     topk,
     warc,
 )
+from linewright.llm.common import keyed
 from linewright.llm.queries import model_bytes
 
 RANDOM = random.Random(7)
@@ -405,3 +407,34 @@ def test_stages_take_empty_tables(spark, docs, tmp_path):
             assert kept.columns == docs.columns
             assert kept.count() <= rows.count()
         assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() == rows.count()
+
+
+def test_a_passage_in_most_texts_is_split_among_tasks(spark):
+    """Its anchors and, if crowded, its windows are joined by tasks that share a key's rows."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    kept = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        many = spark.range(0, 3000, 1, 8).select(
+            F.col("id").alias("doc_id"),
+            F.expr(
+                "concat(array_join(transform(sequence(1, 50), i -> concat('a', i)), ' '), ' ',"
+                "array_join(transform(sequence(1, 50), i -> concat('w', 1000 * id + i)), ' '))"
+            ).alias("text"),
+        )
+        found = repeats.repeated_spans(keyed(many, "doc_id", "text"))
+        rows = found.groupBy("doc_id").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+        spans = rows.groupBy("a", "b").count()
+        assert [tuple(row) for row in spans.collect()] == [(0, 50, 3000)]
+        text = spans._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert "SortMergeJoin(skew=true)" in text.split("Initial Plan")[0]
