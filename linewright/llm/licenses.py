@@ -1,12 +1,13 @@
 """License notices in texts, by MinHash bands over overlapping windows.
 
 DataFrame functions only. Words are runs of a-z and 0-9 of the lower-cased text, shingles
-five words. Each template of L shingles is looked for in windows of 5/4 L shingles that
-start every 1/4 L, so any L shingles in a row lie within one. A window in which no template's
-shingle occurs cannot match and is left out before it is hashed. Windows meet templates of
-their length in any of ``BANDS`` bands of ``ROWS`` MinHash values: a text with 0.8 of a
-template's shingles has a Jaccard similarity of 0.5 or more with it in some window, and
-``1 - (1 - 0.5 ** ROWS) ** BANDS`` is above 0.9999999. Pairs that met are verified by the
+five words. Each template of L shingles is looked for in windows of 3 L shingles that start
+every L, so any 2 L shingles in a row lie within one: a notice broken by other words is found
+wherever it starts as long as it spans at most 2 L; one spread wider can be lost. A window in
+which no template's shingle occurs cannot match and is left out before it is hashed. Windows
+meet templates of their length in any of ``BANDS`` bands of ``ROWS`` MinHash values: a window
+with 0.8 of a template's shingles has a Jaccard similarity of 0.25 or more with it, and
+``1 - (1 - 0.25 ** ROWS) ** BANDS`` is above 0.9999998. Pairs that met are verified by the
 exact share of the template's shingles that the window contains.
 
 Null, empty and short texts hold no notice. Rows that agree in id and text give one result
@@ -22,8 +23,10 @@ from linewright.llm.common import keyed
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS = 24
+BANDS = 56
 ROWS = 1
+# Lengths of a template in a window; one less is the widest span that is always covered.
+SPAN = 3
 
 # Public license notices.
 TEMPLATES = {
@@ -104,7 +107,8 @@ def scan(
     templates: dict[str, str] | None = None,
 ) -> DataFrame:
     """``(doc_id, text_key, license, containment, first_shingle)``: the best window of each
-    template that a text contains to 0.8 or more."""
+    template that a text contains to 0.8 or more within a span of twice its length, and the
+    place of the first of the template's shingles in it."""
     spark = df.sparkSession
     # The templates are constants of the caller: a few rows, whatever the data.
     known = template_table(spark, TEMPLATES if templates is None else templates).collect()
@@ -122,26 +126,28 @@ def scan(
         "doc_id", "text_key", shingles(F.col("text")).alias("all")
     )
     hit = rows.where(F.arrays_overlap("all", literal))
-    stride = {length: max(1, length // 4) for length in lengths}
-    options = F.array(
-        *[F.struct(F.lit(n).alias("length"), F.lit(stride[n]).alias("stride")) for n in lengths]
-    ).cast("array<struct<length:int,stride:int>>")
-    sized = hit.withColumn("size", F.explode(options)).select("*", "size.*")
+    sized = hit.withColumn(
+        "length", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))
+    )
     starts = sized.withColumn(
-        "start", F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.col("stride")))
+        "start", F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.col("length")))
     )
     windows = starts.select(
         "doc_id",
         "text_key",
         "length",
         "start",
-        F.slice("all", F.col("start") + 1, F.col("length") + F.col("stride")).alias("window"),
+        F.slice("all", F.col("start") + 1, F.col("length") * SPAN).alias("window"),
     ).where(F.arrays_overlap("window", literal))
     banded = windows.withColumn("band", F.explode(bands(F.col("window"))))
     met = banded.join(listed, ["length", "band"])
     shared = F.size(F.array_intersect("window", "wanted")) / F.size("wanted")
     verified = met.withColumn("containment", shared).where(F.col("containment") >= LEAST)
-    best = F.max(F.struct("containment", (-F.col("start")).alias("back"))).alias("best")
+    places = F.transform(
+        F.array_intersect("window", "wanted"), lambda x: F.array_position("window", x)
+    )
+    first = (F.col("start") + F.array_min(places) - 1).cast("int")
+    best = F.max(F.struct("containment", (-first).alias("back"))).alias("best")
     return verified.groupBy("doc_id", "text_key", "license").agg(best).select(
         "doc_id",
         "text_key",

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import re
 from collections import Counter
 
 import brute
@@ -485,3 +486,33 @@ def test_near_copies_of_a_crowded_bucket(spark, monkeypatch):
     wanted = [0, *range(41, 101, 2)]
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == wanted
     assert nearcopies.one_of_each(rows.limit(0)).collect() == []
+
+
+def _sliding_licenses(text, name, lengths):
+    """Whether a window of so many template lengths, slid by one shingle, has 0.8 of it."""
+
+    def cut(value):
+        words = re.findall("[a-z0-9]+", value.lower())
+        return [tuple(words[at : at + 5]) for at in range(len(words) - 4)]
+
+    own, wanted = cut(text), cut(licenses.TEMPLATES[name])
+    span = lengths * len(wanted)
+    return any(
+        len(set(own[at : at + span]) & set(wanted)) >= 0.8 * len(set(wanted))
+        for at in range(max(1, len(own) - span + 1))
+    )
+
+
+def test_broken_licenses_are_found_wherever_they_start(spark):
+    texts = []
+    for name, inserted in (("gpl-header", 9), ("gpl-header", 18), ("mit-notice", 40)):
+        words = licenses.TEMPLATES[name].split()
+        middle = len(words) // 2
+        broken = [*words[:middle], *[f"own{at}" for at in range(inserted)], *words[middle:]]
+        for offset in range(len(words)):
+            text = " ".join([*[f"p{at}" for at in range(offset)], *broken, "end " * 50])
+            texts.append((len(texts), name, offset, text))
+    assert all(_sliding_licenses(text, name, 2) for _, name, _, text in texts)
+    rows = spark.createDataFrame([(n, text) for n, _, _, text in texts], "doc_id long, text string")
+    found = {(r["doc_id"], r["license"]): r["first_shingle"] for r in licenses.scan(rows).collect()}
+    assert found == {(n, name): offset for n, name, offset, _ in texts}
