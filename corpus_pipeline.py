@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import nearcopies, personal, phrases, pieces, quality, simhash
+from linewright.llm import personal, phrases, pieces, quality, simhash
 from linewright.llm.common import table
 from linewright.llm.queries import model_bytes
 from linewright.plans.durable import durable
@@ -19,9 +19,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: of op8's components, then of what is left, of texts
-    that share 0.8 of their five-word shingles."""
-    return nearcopies.one_of_each(simhash.one_of_each(docs))
+    """One document of each component of near-equal SimHash fingerprints stays."""
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
