@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from linewright.llm import (
     licenses,
-    nearcopies,
     personal,
     phrases,
     pieces,
@@ -442,50 +441,21 @@ def test_a_passage_in_most_texts_is_split_among_tasks(spark):
     assert "SortMergeJoin(skew=true)" in text.split("Initial Plan")[0]
 
 
-def _jaccard(a, b):
-    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
-    return len(a & b) / len(a | b)
-
-
-def test_near_copies_beyond_two_bits_go(spark, tmp_path):
+def test_the_stage_goes_by_bits_alone(spark, tmp_path):
+    """Copies within two bits go; texts further apart stay, however alike their words."""
     draw = random.Random(8)
-    texts, groups = [], []
-    for group in range(120):
+    texts = []
+    for _ in range(120):
         words = [f"w{draw.randrange(5000)}" for _ in range(200)]
         changed = list(words)
         for at in draw.sample(range(200), 3):
             changed[at] = "changed"
-        texts += [" ".join(words), " ".join(changed)]
-        groups.append((2 * group, 2 * group + 1))
-    # Half of its words are another's: no near copy, and kept.
-    texts.append(" ".join(texts[0].split()[:130] + [f"x{at}" for at in range(70)]))
-    far = [simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode()) for a, b in groups]
-    assert sum(value.bit_count() > 2 for value in far) > 60
-    assert all(_jaccard(texts[a], texts[b]) >= 0.8 for a, b in groups)
+        texts += [" ".join(words), " ".join(changed), " ".join(words).upper()]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = corpus_pipeline.keep_one_of_each(spark, rows, str(tmp_path))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [a for a, _ in groups] + [240]
-
-
-def test_near_copies_of_a_crowded_bucket(spark, monkeypatch):
-    """A group of near copies and looser texts, with buckets that have to be cut."""
-    monkeypatch.setattr(nearcopies, "CROWDED", 4)
-    draw = random.Random(9)
-    base = [f"w{at}" for at in range(300)]
-    texts = [" ".join(base)]
-    for _ in range(40):
-        words = list(base)
-        words[draw.randrange(300)] = "changed"
-        texts.append(" ".join(words))
-    for n in range(30):
-        part = [*base[:200], *[f"z{n}x{at}" for at in range(100)]]
-        texts += [" ".join(part), " ".join([*part[:250], "changed", *part[251:]])]
-    rows = spark.createDataFrame([*enumerate(texts), (None, "")], "doc_id long, text string")
-    kept = nearcopies.one_of_each(rows)
-    assert kept.columns == rows.columns
-    wanted = [0, *range(41, 101, 2)]
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == wanted
-    assert nearcopies.one_of_each(rows.limit(0)).collect() == []
+    heads = {row[2] for row in brute.components(list(enumerate(texts)))}
+    assert {r["doc_id"] for r in kept.collect()} == heads
+    assert 120 < len(heads) <= 240
 
 
 def _sliding_licenses(text, name, lengths):
