@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.llm import (
+    clusters,
     licenses,
+    merkle,
     personal,
     phrases,
     pieces,
@@ -18,6 +20,7 @@ from linewright.llm import (
     shards,
     simhash,
     topk,
+    toxicity,
     warc,
 )
 from linewright.llm.common import table
@@ -91,6 +94,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), model_bytes()))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.digests(*clusters.clustered(table(spark, sf_dir, "embeddings")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = merkle.tampered_text(F.col("doc_id"), F.col("text"))
+    documents = table(spark, sf_dir, "documents")
+    return merkle.digests(merkle.manifest(documents, changed={"text": text}))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -104,9 +121,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_decontamination,
         op10_sentencepiece,
+        op11_centroid_clustering,
+        op12_merkle_manifest,
+        op13_toxicity,
     )
 }
 
+
+def _clustering_sql(rounds: int = 10) -> str:
+    """The rounds of op11, one after the other."""
+    distance = """list_sum(list_transform(range(1, 65),
+                      lambda i: (v.parts[i] - c.parts[i]) * (v.parts[i] - c.parts[i])))::BIGINT"""
+    steps = [
+        """whole AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)
+                   AS parts
+            FROM embeddings
+            WHERE len(embedding) = 64
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS cluster,
+                   parts
+            FROM whole ORDER BY sha256('3:' || vec_id) LIMIT 8
+        )"""
+    ]
+    for at in range(rounds + 1):
+        steps.append(f"""a{at} AS MATERIALIZED (
+            SELECT vec_id, any_value(parts) AS parts, min(place) AS place
+            FROM (SELECT v.vec_id, v.parts, [{distance}, c.cluster] AS place
+                  FROM whole v, c{at} c)
+            GROUP BY vec_id
+        )""")
+        if at < rounds:
+            steps.append(f"""c{at + 1} AS MATERIALIZED (
+            SELECT c.cluster, coalesce(moved.parts, c.parts) AS parts
+            FROM c{at} c LEFT JOIN (
+                SELECT place[2] AS cluster, list_transform(range(1, 65), lambda i:
+                           (list_sum(list_transform(list(parts), lambda p: p[i]))::BIGINT
+                            - (list_sum(list_transform(list(parts), lambda p: p[i]))::BIGINT
+                               % count(*) + count(*)) % count(*)) // count(*)) AS parts
+                FROM a{at} GROUP BY place[2]) moved ON c.cluster = moved.cluster
+        )""")
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, cluster, place[1] AS distance,
+               (sum(place[1]) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+               (sum(place[1]) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c.parts, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON a.place[2] = c.cluster
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH words AS MATERIALIZED (
@@ -168,4 +233,68 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM whole LEFT JOIN firsts USING (html)
     """,
+    "op11_centroid_clustering": _clustering_sql(),
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE checked AS (
+            SELECT *, xor(4294967295, list_reduce(
+                       list_concat([4294967295::BIGINT], list_transform(
+                           string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda crc, byte: list_reduce(
+                           list_concat([xor(crc, byte)], range(8)),
+                           lambda c, n: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384)
+                                             ELSE c >> 1 END))) AS crc
+            FROM documents
+        ), leaves AS MATERIALIZED (
+            SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+                   list_transform([text, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '')
+                                              ELSE text END],
+                       lambda body: sha256(array_to_string(list_transform(
+                           [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, body],
+                           lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')), ''))
+                   ) AS pair
+            FROM checked
+        ), trees AS (
+            SELECT source, 0 AS level, list(pair[1] ORDER BY pos) AS nodes
+            FROM leaves GROUP BY source
+            UNION ALL
+            SELECT source, level + 1, list_transform(range((len(nodes) + 2) // 3),
+                       lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+            FROM trees WHERE len(nodes) > 1
+        ), subroots AS MATERIALIZED (
+            SELECT source, nodes[1] AS subroot,
+                   row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+            FROM trees WHERE len(nodes) = 1
+        ), crown AS (
+            SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+            UNION ALL
+            SELECT level + 1, list_transform(range((len(nodes) + 2) // 3),
+                       lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+            FROM crown WHERE len(nodes) > 1
+        ), places AS (
+            SELECT doc_id, level, nodes, leaves.pos // (3 ** level)::BIGINT AS pos
+            FROM leaves JOIN trees ON leaves.source IS NOT DISTINCT FROM trees.source
+            WHERE len(nodes) > 1
+            UNION ALL
+            SELECT doc_id, 1000 + level, nodes, subroots.pos // (3 ** level)::BIGINT
+            FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source, crown
+            WHERE len(nodes) > 1
+        ), paths AS (
+            SELECT doc_id, list(
+                       array_to_string(nodes[pos - pos % 3 + 1:pos], '') || '|' ||
+                       array_to_string(nodes[pos + 2:pos - pos % 3 + 3], '')
+                       ORDER BY level) AS beside
+            FROM places GROUP BY doc_id
+        ), folded AS (
+            SELECT leaves.doc_id, pair[1] AS leaf, subroot, c.nodes[1] AS root,
+                   sha256(replace(array_to_string(coalesce(beside, []), ''), '|', ''))
+                   AS proof_sha256,
+                   list_reduce(list_concat([pair[2]], coalesce(beside, [])),
+                       lambda acc, x: sha256(split_part(x, '|', 1) || acc || split_part(x, '|', 2)))
+                   AS folded_root
+            FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source
+                 LEFT JOIN paths ON leaves.doc_id = paths.doc_id,
+                 (SELECT nodes FROM crown WHERE len(nodes) = 1) c
+        )
+        SELECT *, folded_root = root AS verified FROM folded
+    """,
 }
