@@ -27,7 +27,15 @@ from linewright.operators.lines import (
 from linewright.operators.naming import allocate_free_names, stem_counts
 from linewright.operators.replies import classify_replies
 from linewright.sinks import append_rows, replace_groups
-from linewright.sources import digest_files, read_lines, read_manifest, read_texts
+from linewright.sources import (
+    digest_chunks,
+    digest_files,
+    list_files,
+    read_lines,
+    read_manifest,
+    read_texts,
+    reconcile_chunks,
+)
 
 __all__ = [
     "IncompleteInputs",
@@ -38,17 +46,20 @@ __all__ = [
     "classify_replies",
     "count_matching_lines",
     "count_matching_rows",
+    "digest_chunks",
     "digest_files",
     "ensure_header",
     "having_marker",
     "header_rows",
     "latest_per_key",
+    "list_files",
     "lookup_with_default",
     "missing_inputs",
     "neutralise_lines",
     "read_lines",
     "read_manifest",
     "read_texts",
+    "reconcile_chunks",
     "reconcile_digests",
     "replace_groups",
     "rows_to_append",

@@ -16,6 +16,8 @@ LICENCE = "License"
 MARKER = "GNU"
 HEADER = ("# This group had no GNU notice.", "# Its texts were replaced.")
 COLOURS = (("error", "red"), ("click", "green"), ("signup", "yellow"), ("view", "blue"))
+PART = 100  # documents that are written as one file
+CHUNK = 1 << 16
 REPLIES = ("y", "yes please", " YES ", "n", "", "yEs", "y\n", "Y")
 
 
@@ -39,37 +41,65 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items written as files and read back whole, their lines in order."""
+    """Documents written as files and read back whole, their lines in order."""
     folder = fresh_dir(spark, "read_texts")
-    _items_as_files(spark, sf_dir, folder)
+    _as_files(_parts(spark, sf_dir), folder)
     texts = lw.neutralise_lines(lw.read_texts(spark, folder), "text", "e")
-    return texts.select(_item_of("file"), F.md5("text").alias("text_md5"))
+    return texts.select(_part_of("file"), F.md5("text").alias("text_md5"))
 
 
-def _items_as_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """Each benchmark item as a file below a folder of its number."""
-    items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
-    items.repartition("item_id").write.partitionBy("item_id").text(folder, lineSep="\n")
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(part, text)``: the texts of ``PART`` documents each, in order."""
+    documents = _table(spark, sf_dir, "documents")
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    text = F.array_join(F.transform(ordered, lambda row: row["text"]), "\n")
+    part = F.expr(f"doc_id div {PART}").alias("part")
+    return documents.groupBy(part).agg(text.alias("text"))
+
 
+def _as_files(parts: DataFrame, folder: str) -> None:
+    """Each part as a file below a folder of its number."""
+    parts.write.partitionBy("part").text(folder, lineSep="\n")
 
-def _item_of(file: str) -> Column:
-    return F.regexp_extract(file, "^item_id=([0-9]+)/", 1).cast("bigint").alias("item_id")
+
+def _part_of(file: str) -> Column:
+    return F.regexp_extract(file, "^part=([0-9]+)/", 1).cast("bigint").alias("part")
 
 
 def reconcile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as files against a checksum list, wrong for every third item."""
+    """Documents as files against a checksum list, wrong for every third file."""
     folder, listing = fresh_dir(spark, "files"), fresh_dir(spark, "checksums")
-    _items_as_files(spark, sf_dir, folder)
-    written = lw.digest_files(spark, folder).select("key", _item_of("key"))
-    items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
-    body = F.when(F.col("item_id") % 3 == 0, F.lit("altered")).otherwise(F.col("text"))
-    entry = F.concat(F.md5(F.concat(body, F.lit("\n"))), F.lit("  "), "key", F.lit("\r"))
-    lines = written.join(items, "item_id").select(entry.alias("value"))
+    parts = _parts(spark, sf_dir)
+    _as_files(parts, folder)
+    names = lw.list_files(spark, folder).select(F.col("file").alias("key"), _part_of("file"))
+    body = F.when(F.col("part") % 3 == 0, F.lit("altered")).otherwise(F.col("text"))
+    digests = parts.select("part", F.md5(F.concat(body, F.lit("\n"))).alias("md5"))
+    entry = F.concat("md5", F.lit("  "), "key", F.lit("\r"))
+    lines = names.join(digests, "part").select(entry.alias("value"))
     lines.write.text(listing, lineSep="\n")
     found = lw.reconcile_digests(
         lw.digest_files(spark, folder), lw.read_manifest(spark, listing), "key"
     )
-    return found.select(_item_of("key"), "status")
+    return found.select(_part_of("key"), "status")
+
+
+def reconcile_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk manifest of documents as files against a copy of them: some files changed in
+    places, some longer, some gone, some new."""
+    first, copy = fresh_dir(spark, "first"), fresh_dir(spark, "copy")
+    parts, n = _parts(spark, sf_dir), F.col("part")
+    _as_files(parts.where(n % 7 != 6), first)
+    changed = F.when(n % 3 == 0, F.replace("text", F.lit("q"), F.lit("Q"))).otherwise(F.col("text"))
+    longer = F.when(n % 4 == 1, F.concat(changed, F.lit("\nnew"))).otherwise(changed)
+    _as_files(parts.where(n % 5 != 4).select("part", longer.alias("text")), copy)
+    manifest = lw.digest_chunks(spark, first, CHUNK)
+    # The two writes name a part's file in their own ways.
+    named = lw.list_files(spark, copy).select(_part_of("file"), F.col("file").alias("there"))
+    manifest = manifest.withColumn("part", _part_of("key")).join(named, "part", "left")
+    key = F.coalesce("there", "key").alias("key")
+    manifest = manifest.select(key, "offset", "length", "md5")
+    found = lw.reconcile_chunks(spark, copy, manifest)
+    return found.select(_part_of("key"), "offset", "length", "status")
 
 
 def count_matching_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,6 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         classify_replies,
         reconcile_digests,
         reconcile_files,
+        reconcile_chunks,
         missing_inputs,
         missing_inputs_by_shuffle,
         append_rows,
@@ -317,12 +348,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM lines GROUP BY source, line_md5
     """,
     "read_texts": """
-        SELECT item_id, md5(array_to_string(list_transform(
+        WITH parts AS (
+            SELECT doc_id // 100 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS text
+            FROM documents GROUP BY part
+        )
+        SELECT part, md5(array_to_string(list_transform(
                    string_split(text, chr(10)),
                    lambda line: CASE
                        WHEN left(line, 1) <> '#' AND contains(substr(line, 2), 'e')
                        THEN '#' || line ELSE line END), chr(10)) || chr(10)) AS text_md5
-        FROM benchmark
+        FROM parts
     """,
     "count_matching_lines": """
         SELECT doc_id,
@@ -447,8 +482,37 @@ ORACLE_SQL: dict[str, str] = {
         FROM data FULL JOIN manifest USING (key)
     """,
     "reconcile_files": """
-        SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status
-        FROM benchmark
+        SELECT DISTINCT doc_id // 100 AS part,
+               CASE WHEN doc_id // 100 % 3 = 0 THEN 'failed' ELSE 'ok' END AS status
+        FROM documents
+    """,
+    "reconcile_chunks": """
+        WITH parts AS MATERIALIZED (
+            SELECT doc_id // 100 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS text
+            FROM documents GROUP BY part
+        ), bytes AS MATERIALIZED (
+            SELECT part,
+                   CASE WHEN part % 7 <> 6 THEN hex(encode(text || chr(10))) END AS first,
+                   CASE WHEN part % 5 <> 4 THEN hex(encode(
+                       CASE WHEN part % 3 = 0 THEN replace(text, 'q', 'Q') ELSE text END
+                       || CASE WHEN part % 4 = 1 THEN chr(10) || 'new' ELSE '' END || chr(10)))
+                       END AS copy
+            FROM parts
+        ), chunks AS (
+            SELECT *, unnest(range(0, len(first) // 2, 65536)) AS start FROM bytes
+        )
+        SELECT part, start::BIGINT AS "offset",
+               least(65536, len(first) // 2 - start)::BIGINT AS length,
+               CASE WHEN copy IS NULL OR len(copy) < least(2 * start + 131072, len(first))
+                        THEN 'missing'
+                    WHEN substr(copy, 2 * start + 1, least(131072, len(first) - 2 * start))
+                         = substr(first, 2 * start + 1, 131072) THEN 'ok'
+                    ELSE 'failed' END AS status
+        FROM chunks
+        UNION ALL
+        SELECT part, coalesce(len(first) // 2, 0)::BIGINT,
+               (len(copy) // 2 - coalesce(len(first) // 2, 0))::BIGINT, 'unlisted'
+        FROM bytes WHERE len(copy) > coalesce(len(first), 0)
     """,
     "missing_inputs": """
         SELECT DISTINCT doc_id FROM documents

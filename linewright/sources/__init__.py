@@ -7,30 +7,23 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-# Names of the files that Spark writes beside its data.
-_SPARKS_OWN = r"_SUCCESS|\..*\.crc|_(started|committed)_.*"
-
-
-def _refuse_skipped(spark: SparkSession, path: str | list[str]) -> None:
-    """Raise if a file or folder at ``path`` is one that Spark's readers leave out.
-
-    The file system looks for the names; only those found come back.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for one in [path] if isinstance(path, str) else path:
-        root = hadoop.Path(one)
-        store = root.getFileSystem(conf)
-        found = [root] if root.getName()[:1] in ("_", ".") else []
-        level = one.rstrip("/")
-        while store.globStatus(hadoop.Path(level)):
-            skipped = store.globStatus(hadoop.Path(f"{level}/[._]*")) or []
-            found += [status.getPath() for status in skipped]
-            level += "/*"
-        names = [str(p) for p in found if not re.fullmatch(_SPARKS_OWN, p.getName())]
-        if names:
-            raise ValueError(f"Spark's readers pass over: {sorted(names)[:5]}")
+from linewright.sources.contents import (
+    digest_chunks,
+    digest_files,
+    read_texts,
+    reconcile_chunks,
+)
+from linewright.sources.listing import list_files, refused, roots, walk_folders
+
+__all__ = [
+    "digest_chunks",
+    "digest_files",
+    "list_files",
+    "read_lines",
+    "read_manifest",
+    "read_texts",
+    "reconcile_chunks",
+]
 
 
 def _relative(spark: SparkSession, path: str | list[str], encoded: Column) -> Column:
@@ -61,15 +54,19 @@ def _relative(spark: SparkSession, path: str | list[str], encoded: Column) -> Co
     return F.coalesce(*below, name)
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_lines(
+    spark: SparkSession, path: str | list[str], *, hidden: str = "error"
+) -> DataFrame:
     """Rows ``(file, value)``, one per ``\\n``-ended line; ``\\r`` stays part of the line.
 
     Uncompressed files are split into tasks by size, so one huge file is read in parallel.
     Subfolders are read too, and ``file`` is the path below ``path``. Spark passes over names
     that begin with ``.`` or ``_``; such a file is an error here, other than the marks and
-    checksums that Spark itself writes.
+    checksums that Spark itself writes. Tasks list the folders for that; with
+    ``hidden="skip"`` nothing is listed and such files are left out.
     """
-    _refuse_skipped(spark, path)
+    if hidden != "skip":
+        refused(walk_folders(spark, roots(spark, path)))
     lines = (
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
@@ -79,52 +76,6 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select(file.alias("file"), "value")
 
 
-def _with_empty(spark: SparkSession, files: DataFrame, value: str, empty: Column) -> DataFrame:
-    """``(__file, value)`` of all files, with ``empty`` for those Spark has no row for.
-
-    Spark's file sources list empty files but do not read them. Only names are compared;
-    the list of them, which Spark keeps in the driver anyway, gives those to compare with.
-    """
-    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "name string")
-    read = files.select(_plain("_metadata.file_path"), value)
-    found = F.coalesce(F.col(value), empty).alias(value)
-    return listed.select(_plain("name")).join(read, "__file", "left").select("__file", found)
-
-
-def _plain(name: str) -> Column:
-    """A file's name; an empty host is written in two ways."""
-    return F.regexp_replace(name, r"\A([A-Za-z][A-Za-z0-9+.-]*:)///", "$1/").alias("__file")
-
-
-def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows ``(file, text)``, one per file, its lines in order; files as in ``read_lines``.
-
-    A file is one value and must be far below 2 GB; send big files to ``read_lines``.
-    """
-    _refuse_skipped(spark, path)
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    texts = _with_empty(spark, files.withColumnRenamed("value", "text"), "text", F.lit(""))
-    return texts.select(_relative(spark, path, F.col("__file")).alias("file"), "text")
-
-
-def digest_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows ``(key, md5)``, one per file under ``path``, empty ones included.
-
-    ``key`` is the path below ``path``. A file is one value here, so Spark refuses files
-    above 2 GB with an error. Names that begin with ``.`` or ``_`` are an error, as in
-    ``read_lines``.
-    """
-    _refuse_skipped(spark, path)
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .withColumn("md5", F.md5("content"))
-    )
-    digests = _with_empty(spark, files, "md5", F.md5(F.lit("")))
-    return digests.select(_relative(spark, path, F.col("__file")).alias("key"), "md5")
-
-
 def read_manifest(
     spark: SparkSession, path: str | list[str], *, strict: bool = True
 ) -> DataFrame:

@@ -1,0 +1,183 @@
+import fnmatch
+import gzip
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import linewright as lw
+from linewright.sources import contents, listing
+
+
+def _md5(data):
+    return hashlib.md5(data).hexdigest()
+
+
+def _tree(tmp_path, files):
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("folders", [1, 3, 200])
+def test_trees_are_listed_in_rounds(spark, tmp_path, folders):
+    files = {f"a{i}/b{j}/c{k}/f {k}%+ö": b"x" * (i + j) for i in range(4) for j in range(3) for k in range(2)}
+    files |= {"top": b"", "a0/mid": b"12"}
+    path = _tree(tmp_path, files)
+    (tmp_path / "hollow" / "deep").mkdir(parents=True)
+    known = listing.roots(spark, path)
+    found = listing.walk_folders(spark, known, folders=folders).collect()
+    assert {row.file: row.length for row in found} == {n: len(d) for n, d in files.items()}
+    assert len(found) == len(files) and {row.kind for row in found} == {"file"}
+
+
+def test_listed_files_have_uris(spark, tmp_path):
+    path = _tree(tmp_path, {"x/one": b"1", "two": b""})
+    rows = {row.file: row for row in lw.list_files(spark, path).collect()}
+    assert rows["x/one"].uri == f"file://{path}/x/one" and rows["x/one"].length == 1
+    assert abs(rows["two"].modified.timestamp() - (tmp_path / "two").stat().st_mtime) < 86400
+    alone = lw.list_files(spark, f"{path}/x/one").collect()
+    assert [(row.file, row.uri) for row in alone] == [("one", f"file://{path}/x/one")]
+    several = lw.list_files(spark, [f"{path}/x", f"{path}/two"]).collect()
+    assert sorted(row.file for row in several) == ["one", "two"]
+
+
+@pytest.mark.parametrize(
+    "pattern, names",
+    [
+        ("*", ["a1", "a2", "b.c", "{x}"]),
+        ("a?", ["a1", "a2"]),
+        ("[ab]*", ["a1", "a2", "b.c"]),
+        ("[^a]*", ["b.c", "{x}"]),
+        ("[!a].c", ["b.c"]),
+        ("{a1,b.c,none}", ["a1", "b.c"]),
+        ("a{1,2}", ["a1", "a2"]),
+        (r"\{x\}", ["{x}"]),
+        ("b.?", ["b.c"]),
+    ],
+)
+def test_wildcards(pattern, names):
+    wanted = re.compile(listing.pattern(pattern))
+    assert [n for n in ("a1", "a2", "b.c", "{x}") if wanted.fullmatch(n)] == names
+    if pattern[0] in "*a[" and "{" not in pattern:
+        plain = pattern.replace("[^", "[!")
+        assert names == [n for n in ("a1", "a2", "b.c", "{x}") if fnmatch.fnmatchcase(n, plain)]
+
+
+def test_wildcards_in_the_middle_of_a_path(spark, tmp_path):
+    path = _tree(tmp_path, {f"{a}/{b}/{c}": b"" for a in "xy" for b in ("in", "out") for c in ("1", "2")} | {"x/1": b""})
+    found = lambda p: sorted(row.file for row in lw.list_files(spark, f"{path}/{p}").collect())
+    assert found("*/in") == ["x/in/1", "x/in/2", "y/in/1", "y/in/2"]
+    assert found("*/in/[1]") == ["x/in/1", "y/in/1"]
+    assert found("x/*") == ["1", "in/1", "in/2", "out/1", "out/2"]
+    with pytest.raises(FileNotFoundError, match="no file matches"):
+        lw.list_files(spark, f"{path}/*/nowhere")
+    with pytest.raises(ValueError, match="unclosed"):
+        lw.list_files(spark, f"{path}/{{a,b").collect()
+
+
+def test_paths_that_are_not_there(spark, tmp_path):
+    with pytest.raises(Exception, match="does not exist"):
+        lw.digest_files(spark, str(tmp_path / "gone"))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    with pytest.raises(ValueError, match="no handle"):
+        lw.digest_files(spark, "viewfs://store/in")
+
+
+def test_hidden_files_are_read_on_demand(spark, tmp_path):
+    files = {".profile": b"export A\n", "_conf/x": b"1", "plain": b"2", "_SUCCESS": b""}
+    path = _tree(tmp_path, files)
+    for read in (lw.digest_files, lw.read_texts, lw.digest_chunks, lw.list_files, lw.read_lines):
+        with pytest.raises(ValueError, match="pass over"):
+            read(spark, path)
+    found = lw.digest_files(spark, path, hidden="read").collect()
+    assert dict(map(tuple, found)) == {n: _md5(d) for n, d in files.items()}
+    texts = lw.read_texts(spark, path, hidden="read").collect()
+    assert dict(map(tuple, texts)) == {n: d.decode() for n, d in files.items()}
+    assert [row.value for row in lw.read_lines(spark, path, hidden="skip").collect()] == ["2"]
+
+
+def test_texts_of_odd_bytes(spark, tmp_path):
+    path = _tree(tmp_path, {"a": b"", "b": b"\xef\xbb\xbfx\r\n\x00", "c": "ö\n".encode() * 99})
+    (tmp_path / "d.gz").write_bytes(gzip.compress(b"one\n") + gzip.compress(b"two\n"))
+    texts = lw.read_texts(spark, path).select("file", F.hex(F.encode("text", "UTF-8")).alias("h"))
+    assert dict(map(tuple, texts.collect())) == {
+        "a": "", "b": b"\xef\xbb\xbfx\r\n\x00".hex().upper(),
+        "c": ("ö\n".encode() * 99).hex().upper(), "d.gz": b"one\ntwo\n".hex().upper(),
+    }
+
+
+def test_texts_are_handed_over_in_bounded_batches(spark, tmp_path, monkeypatch):
+    files = {str(n): str(n).encode() * 50 for n in range(30)}
+    monkeypatch.setattr(contents, "BATCH_BYTES", 120)
+    texts = lw.read_texts(spark, _tree(tmp_path, files)).collect()
+    assert dict(map(tuple, texts)) == {n: d.decode() for n, d in files.items()}
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 10, 1 << 20])
+def test_chunks_cover_files(spark, tmp_path, chunk):
+    files = {"a": b"", "b": b"0123456789", "sub/c": b"xyz" * 5}
+    path = _tree(tmp_path, files)
+    wanted = {
+        (name, at, len(data[at : at + chunk]), _md5(data[at : at + chunk]))
+        for name, data in files.items()
+        for at in range(0, max(1, len(data)), chunk)
+    }
+    manifest = lw.digest_chunks(spark, path, chunk)
+    assert manifest.columns == ["key", "offset", "length", "md5"]
+    assert {tuple(row) for row in manifest.collect()} == wanted
+    again = lw.reconcile_chunks(spark, path, manifest).collect()
+    assert {tuple(row) for row in again} == {(*row[:3], "ok") for row in wanted}
+    with pytest.raises(ValueError, match="at least"):
+        lw.digest_chunks(spark, path, 0)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"max_broadcast_bytes": 0}])
+def test_chunks_against_altered_files(spark, tmp_path, sizes):
+    path = _tree(tmp_path, {"a": b"0123456789", "b": b"", "c": b"long", "d": b"new", "e": b"", "f": b"gap here"})
+    rows = [
+        ("a", 0, 4, _md5(b"0123")), ("a", 4, 4, _md5(b"4x67").upper()), ("a", 8, 2, _md5(b"89").upper()),
+        ("b", 0, 0, _md5(b"")), ("c", 0, 4, _md5(b"long")), ("c", 4, 4, _md5(b"more")),
+        ("gone", 0, 3, _md5(b"xyz")), (None, 0, 3, _md5(b"new")),
+        ("f", 0, 3, _md5(b"gap")), ("f", 0, 3, _md5(b"gap")), ("f", 4, 2, _md5(b"he")), ("f", 4, 2, _md5(b"xx")),
+        ("f", 5, 1, None),
+    ]
+    manifest = spark.createDataFrame(rows, "key string, offset long, length long, md5 string")
+    found = lw.reconcile_chunks(spark, path, manifest, **sizes)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [
+            ("a", 0, 4, "ok"), ("a", 4, 4, "failed"), ("a", 8, 2, "ok"), ("b", 0, 0, "ok"),
+            ("c", 0, 4, "ok"), ("c", 4, 4, "missing"), ("gone", 0, 3, "missing"), (None, 0, 3, "missing"),
+            ("f", 0, 3, "ok"), ("f", 4, 2, "failed"), ("f", 5, 1, "failed"),
+            ("f", 3, 1, "unlisted"), ("f", 6, 2, "unlisted"), ("d", 0, 3, "unlisted"), ("e", 0, 0, "unlisted"),
+        ],
+        key=repr,
+    )
+
+
+def test_a_file_of_three_gigabytes(spark, tmp_path):
+    """Zeros that take no disk, but for a few bytes; one of them is altered."""
+    big, chunk = tmp_path / "big", 256 << 20
+    with big.open("wb") as out:
+        out.truncate(3 << 30)
+        out.seek((1 << 30) + 5)
+        out.write(b"mark")
+    manifest = lw.digest_chunks(spark, str(big), chunk)
+    assert manifest.rdd.getNumPartitions() >= 8
+    kept = manifest.collect()
+    assert len(kept) == 12 and len({row.md5 for row in kept}) == 2
+    with big.open("r+b") as out:
+        out.seek((2 << 30) + 77)
+        out.write(b"!")
+    stored = spark.createDataFrame(kept, manifest.schema)
+    status = {row.offset: row.status for row in lw.reconcile_chunks(spark, str(big), stored).collect()}
+    assert status.pop(2 << 30) == "failed" and set(status.values()) == {"ok"}
+    whole = hashlib.md5()
+    with big.open("rb") as data:
+        while piece := data.read(contents.PIECE_BYTES):
+            whole.update(piece)
+    found = lw.digest_files(spark, str(tmp_path)).collect()
+    assert [tuple(row) for row in found] == [("big", whole.hexdigest())]
