@@ -26,7 +26,17 @@ from linewright.operators.lines import (
 )
 from linewright.operators.naming import allocate_free_names, stem_counts
 from linewright.operators.replies import classify_replies
-from linewright.sinks import append_rows, replace_groups
+from linewright.sinks import (
+    AlreadyThere,
+    append_batch,
+    append_rows,
+    drop_replaced,
+    drop_staged,
+    publish_groups,
+    read_batches,
+    read_groups,
+    replace_groups,
+)
 from linewright.sources import (
     digest_chunks,
     digest_files,
@@ -38,8 +48,10 @@ from linewright.sources import (
 )
 
 __all__ = [
+    "AlreadyThere",
     "IncompleteInputs",
     "allocate_free_names",
+    "append_batch",
     "append_if_absent",
     "append_rows",
     "assert_complete",
@@ -48,6 +60,8 @@ __all__ = [
     "count_matching_rows",
     "digest_chunks",
     "digest_files",
+    "drop_replaced",
+    "drop_staged",
     "ensure_header",
     "having_marker",
     "header_rows",
@@ -56,6 +70,9 @@ __all__ = [
     "lookup_with_default",
     "missing_inputs",
     "neutralise_lines",
+    "publish_groups",
+    "read_batches",
+    "read_groups",
     "read_lines",
     "read_manifest",
     "read_texts",

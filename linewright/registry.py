@@ -268,6 +268,18 @@ def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type as a batch each, and then all of them again, as by a job run twice."""
+    folder = fresh_dir(spark, "append_batches")
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    for _ in range(2):
+        for kind, _ in COLOURS:
+            lw.append_batch(events.where(F.col("event_type") == kind), folder, kind)
+        others = [kind for kind, _ in COLOURS]
+        lw.append_batch(events.where(~F.col("event_type").isin(others)), folder, "others")
+    return lw.read_batches(spark, folder).select("event_id", "user_id", "event_type", "batch")
+
+
 def ensure_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     guarded = lw.ensure_header(documents, "source", "text", MARKER, HEADER)
@@ -305,6 +317,17 @@ def replace_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select("doc_id", "source", F.md5("text").alias("text_md5"))
 
 
+def publish_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a table whose readers see all groups replaced or none."""
+    folder = fresh_dir(spark, "publish_groups")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    lw.publish_groups(documents, folder, "source")
+    stored = lw.read_groups(spark, folder)
+    lw.publish_groups(lw.header_rows(stored, "source", "text", MARKER, HEADER), folder, "source")
+    now = lw.read_groups(spark, folder)
+    return now.select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -332,10 +355,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         missing_inputs,
         missing_inputs_by_shuffle,
         append_rows,
+        append_batches,
         ensure_header,
         ensure_header_by_shuffle,
         ensure_header_hot,
         replace_groups,
+        publish_groups,
     )
 }
 
@@ -523,6 +548,12 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL
         SELECT s_name, s_acctbal FROM supplier
     """,
+    "append_batches": """
+        SELECT event_id, user_id, event_type,
+               CASE WHEN event_type IN ('error', 'click', 'signup', 'view') THEN event_type
+                    ELSE 'others' END AS batch
+        FROM events
+    """,
     "ensure_header": """
         WITH marked AS (
             SELECT source, bool_or(contains(text, 'GNU')) AS has_it
@@ -547,5 +578,5 @@ ORACLE_SQL: dict[str, str] = {
 for _name in ("append_if_absent", "lookup_labels", "lookup_null_values", "missing_inputs"):
     ORACLE_SQL[f"{_name}_by_shuffle"] = ORACLE_SQL[_name]
 ORACLE_SQL["allocate_free_names_by_blocks"] = ORACLE_SQL["allocate_free_names"]
-for _name in ("ensure_header_hot", "replace_groups"):
+for _name in ("ensure_header_hot", "replace_groups", "publish_groups"):
     ORACLE_SQL[_name] = ORACLE_SQL["ensure_header"]

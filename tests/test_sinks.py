@@ -1,0 +1,231 @@
+import json
+import signal
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+import linewright as lw
+from linewright.sinks import batches, commits, versions
+
+REPO = str(Path(__file__).parent.parent)
+
+
+def _rows(spark, *rows):
+    return spark.createDataFrame(rows, "grp string, n int")
+
+
+def _all(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+class Killed(Exception):
+    pass
+
+
+def _kill(*args, **kwargs):
+    raise Killed
+
+
+# -- batches -----------------------------------------------------------------------------
+
+
+def test_a_batch_is_added_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = _rows(spark, ("a", 1), ("a", 1), (None, None))
+    assert lw.append_batch(first, path, "01") and not lw.append_batch(first, path, "01")
+    assert lw.append_batch(_rows(spark, ("b", 2)), path, "2024-05.x")
+    assert lw.append_batch(_rows(spark), path, "none")
+    found = lw.read_batches(spark, path)
+    assert found.columns == ["grp", "n", "batch"]
+    wanted = [("a", 1, "01"), ("a", 1, "01"), (None, None, "01"), ("b", 2, "2024-05.x")]
+    assert _all(found) == sorted(wanted, key=repr)
+    assert spark.read.parquet(path).count() == 4  # as any reader of Parquet folders sees it
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_a_batch_whose_job_was_killed(spark, tmp_path, monkeypatch, after):
+    """Before the rename nothing was added, after it everything; a rerun adds what lacks."""
+    path, rows = str(tmp_path / "t"), _rows(spark, ("a", 1), ("b", 2))
+    lw.append_batch(_rows(spark, ("old", 0)), path, "old")
+    whole = commits.move
+
+    def killed(*args):
+        if after:
+            whole(*args)
+        raise Killed
+
+    with monkeypatch.context() as patch:
+        patch.setattr(commits, "move", killed)
+        with pytest.raises(Killed):
+            lw.append_batch(rows, path, "new")
+    assert lw.read_batches(spark, path).count() == (3 if after else 1)
+    assert lw.append_batch(rows, path, "new") is not after
+    assert _all(lw.read_batches(spark, path)) == [("a", 1, "new"), ("b", 2, "new"), ("old", 0, "old")]
+    lw.drop_staged(spark, path)
+    assert not (tmp_path / "t" / batches.STAGING).exists()
+    assert lw.read_batches(spark, path).count() == 3
+
+
+def test_a_batch_whose_rows_fail(spark, tmp_path):
+    path = str(tmp_path / "t")
+    failing = _rows(spark, ("a", 1), ("b", 2)).repartition(2, "n").withColumn(
+        "n", F.when(F.col("n") == 2, F.raise_error(F.lit("broken")).cast("int")).otherwise(F.col("n"))
+    )
+    lw.append_batch(_rows(spark, ("old", 0)), path, "old")
+    with pytest.raises(Exception, match="broken"):
+        lw.append_batch(failing, path, "new")
+    assert lw.read_batches(spark, path).count() == 1
+
+
+def test_of_two_jobs_one_adds_the_batch(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "t"), _rows(spark, ("a", 1))
+    monkeypatch.setattr(commits, "exists", lambda *args: False)  # as both saw it at first
+    assert [lw.append_batch(rows, path, "x") for _ in range(2)] == [True, False]
+    assert lw.read_batches(spark, path).count() == 1
+    assert list((tmp_path / "t" / batches.STAGING).iterdir()) == []
+
+
+def test_names_of_batches(spark, tmp_path):
+    for name in ("", "a/b", "_x", ".x", "a=b", "a b"):
+        with pytest.raises(ValueError, match="no name"):
+            lw.append_batch(_rows(spark), str(tmp_path), name)
+    with pytest.raises(ValueError, match="of their own"):
+        lw.append_batch(spark.range(1).withColumnRenamed("id", "batch"), str(tmp_path), "x")
+
+
+# -- versions ----------------------------------------------------------------------------
+
+OLD = [("a", 1), ("a", 2), ("b", 3), (None, 4), ("", 5), ("c/d %+ö", 6), ("01", 7)]
+
+
+def test_groups_are_replaced_added_and_removed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    lw.publish_groups(_rows(spark, *OLD), path, "grp")
+    assert _all(lw.read_groups(spark, path)) == sorted(OLD, key=repr)
+    new = [("a", 10), (None, 40), ("c/d %+ö", 60), ("new", 70)]
+    kept = sorted((tmp_path / "t" / "data").rglob("*.parquet"))
+    lw.publish_groups(_rows(spark, *new), path, "grp")
+    now = [*new, ("b", 3), ("", 5), ("01", 7)]
+    assert _all(lw.read_groups(spark, path)) == sorted(now, key=repr)
+    assert all(file.exists() for file in kept)  # nothing is rewritten in place
+    gone = spark.createDataFrame([("b",), (None,), ("unknown",)], "grp string")
+    lw.publish_groups(_rows(spark), path, "grp", removed=gone)
+    now = [row for row in now if row[0] not in ("b", None)]
+    assert _all(lw.read_groups(spark, path)) == sorted(now, key=repr)
+    assert lw.drop_replaced(spark, path) >= 4
+    assert _all(lw.read_groups(spark, path)) == sorted(now, key=repr)
+    assert lw.drop_replaced(spark, path) == 0
+    files = list((tmp_path / "t" / "data").rglob("*.parquet"))
+    assert len(files) == len({row[0] for row in now})
+
+
+def test_types_of_groups_are_kept(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "x"), (2, None)], "grp int, `odd.name` string")
+    lw.publish_groups(df, path, "grp")
+    assert lw.read_groups(spark, path).schema.simpleString() == df.schema.simpleString()
+    assert _all(lw.read_groups(spark, path)) == [(1, "x"), (2, None)]
+    with pytest.raises(ValueError, match="is by"):
+        lw.publish_groups(df.select("grp"), path, "grp")
+    with pytest.raises(ValueError, match="has itself"):
+        lw.publish_groups(df.withColumnRenamed("odd.name", "folder"), path, "grp")
+    with pytest.raises(FileNotFoundError):
+        lw.read_groups(spark, str(tmp_path / "none"))
+
+
+def test_empty_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    lw.publish_groups(_rows(spark), path, "grp")
+    assert lw.read_groups(spark, path).collect() == []
+    lw.publish_groups(_rows(spark, ("a", 1)), path, "grp")
+    assert _all(lw.read_groups(spark, path)) == [("a", 1)]
+
+
+@pytest.mark.parametrize("step", ["one group", "data", "list", "pointer"])
+def test_a_replacement_killed_on_the_way_shows_nothing(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    lw.publish_groups(_rows(spark, *OLD), path, "grp")
+    new = _rows(spark, ("a", 10), ("b", 30))
+    if step == "one group":
+        # The rows of the second group fail after those of the first are written.
+        n = F.when(F.col("grp") == "b", F.raise_error(F.lit("broken")).cast("int"))
+        with pytest.raises(Exception, match="broken"):
+            lw.publish_groups(new.withColumn("n", n.otherwise(F.col("n"))), path, "grp")
+    else:
+        with monkeypatch.context() as patch:
+            if step == "data":
+                patch.setattr(versions, "_stored", _kill)
+            elif step == "list":
+                patch.setattr(commits, "create", _kill)
+            else:
+                patch.setattr(commits, "move", _kill)
+            with pytest.raises(Killed):
+                lw.publish_groups(new, path, "grp")
+    assert _all(lw.read_groups(spark, path)) == sorted(OLD, key=repr)
+    lw.publish_groups(new, path, "grp")
+    now = [row for row in OLD if row[0] not in ("a", "b")] + [("a", 10), ("b", 30)]
+    assert _all(lw.read_groups(spark, path)) == sorted(now, key=repr)
+    lw.drop_replaced(spark, path)
+    assert _all(lw.read_groups(spark, path)) == sorted(now, key=repr)
+
+
+def test_of_two_replacements_at_a_time_one_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    lw.publish_groups(_rows(spark, *OLD), path, "grp")
+    seen = versions._pointer(spark, path)
+    lw.publish_groups(_rows(spark, ("a", 10)), path, "grp")
+    monkeypatch.setattr(versions, "_pointer", lambda *args: seen)
+    with pytest.raises(lw.AlreadyThere):
+        lw.publish_groups(_rows(spark, ("b", 30)), path, "grp")
+    monkeypatch.undo()
+    assert ("a", 10) in _all(lw.read_groups(spark, path)) and ("b", 3) in _all(lw.read_groups(spark, path))
+
+
+_KILLED = """
+import os, signal, sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+import linewright as lw
+from pyspark.sql.readwriter import DataFrameWriter
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+rows = lambda *r: spark.createDataFrame(r, "grp string, n int")
+lw.publish_groups(rows(("a", 1), ("b", 2)), {path!r}, "grp")
+whole = DataFrameWriter.parquet
+def half(self, path, *args, **kwargs):
+    if "/data/" not in path:
+        return whole(self, path, *args, **kwargs)
+    whole(self._df.where("folder = '+a'").write.partitionBy("folder"), path)
+    os.killpg(0, signal.SIGKILL)
+DataFrameWriter.parquet = half
+lw.publish_groups(rows(("a", 10), ("b", 20)), {path!r}, "grp")
+"""
+
+
+def test_a_process_killed_between_two_groups(spark, tmp_path):
+    """Driver and executors die when one group is written and the other is not."""
+    path = str(tmp_path / "t")
+    run = subprocess.run(
+        [sys.executable, "-c", _KILLED.format(repo=REPO, path=path)],
+        start_new_session=True,
+        capture_output=True,
+        timeout=120,
+        check=False,
+    )
+    assert run.returncode == -signal.SIGKILL, run.stderr[-2000:]
+    halves = [p.name for p in (tmp_path / "t" / "data").rglob("folder=*")]
+    assert sorted(halves) == ["folder=+a", "folder=+a", "folder=+b"]
+    assert _all(lw.read_groups(spark, path)) == [("a", 1), ("b", 2)]
+    lw.publish_groups(_rows(spark, ("a", 10), ("b", 20)), path, "grp")
+    assert _all(lw.read_groups(spark, path)) == [("a", 10), ("b", 20)]
+
+
+def test_pointers_are_whole_files(spark, tmp_path):
+    path = str(tmp_path / "p" / "1")
+    commits.create(spark, path, json.dumps({"x": "ö"}))
+    assert json.loads(commits.read(spark, path)) == {"x": "ö"}
+    with pytest.raises(lw.AlreadyThere):
+        commits.create(spark, path, "{}")
+    assert commits.names(spark, str(tmp_path / "p")) == ["1"] and commits.names(spark, str(tmp_path / "q")) == []
