@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linewright.plans.keys import key_known, key_names, quoted
 from linewright.plans.pruning import keys_worth_comparing
 from linewright.plans.sizing import BROADCAST_BYTES
+from linewright.plans.sketch import SKETCH_BYTES
 
 
 class IncompleteInputs(RuntimeError):
@@ -76,6 +77,7 @@ def missing_inputs(
     key: str | Sequence[str],
     *,
     max_broadcast_bytes: int = BROADCAST_BYTES,
+    max_sketch_bytes: int = SKETCH_BYTES,
 ) -> DataFrame:
     """The keys of ``expected`` that ``landed`` does not have, each once.
 
@@ -83,11 +85,14 @@ def missing_inputs(
 
     One aggregation over both sides, which each task reduces to distinct keys before the
     shuffle. Few expected keys, which one aggregation over them checks first, are
-    broadcast to ``landed`` so that it is not shuffled.
+    broadcast to ``landed`` so that it is not shuffled; of more keys, a Bloom sketch if that
+    is small, so that few landed keys are shuffled that nobody expects.
     """
     names = key_names(key)
     nameable = landed.where(key_known(names))
-    there, _ = keys_worth_comparing(nameable, expected, names, max_broadcast_bytes)
+    there, _ = keys_worth_comparing(
+        nameable, expected, names, max_broadcast_bytes, max_sketch_bytes
+    )
     both = expected.select(*quoted(names), F.lit(False).alias("__landed")).unionByName(
         there.select(*quoted(names), F.lit(True).alias("__landed"))
     )
@@ -104,10 +109,15 @@ def assert_complete(
     key: str | Sequence[str],
     *,
     max_broadcast_bytes: int = BROADCAST_BYTES,
+    max_sketch_bytes: int = SKETCH_BYTES,
 ) -> None:
     """Raise ``IncompleteInputs`` if any key of ``expected`` has not landed."""
     missing = missing_inputs(
-        expected, landed, key, max_broadcast_bytes=max_broadcast_bytes
+        expected,
+        landed,
+        key,
+        max_broadcast_bytes=max_broadcast_bytes,
+        max_sketch_bytes=max_sketch_bytes,
     )
     example = missing.first()
     if example is not None:

@@ -12,6 +12,7 @@ from linewright.plans.keys import key_known, key_names, key_struct, quoted
 from linewright.plans.pruning import keys_worth_comparing
 from linewright.plans.rows import first_row, last_row
 from linewright.plans.sizing import BROADCAST_BYTES, row_bytes
+from linewright.plans.sketch import SKETCH_BYTES
 
 
 def latest_per_key(
@@ -35,6 +36,7 @@ def rows_to_append(
     order: str | Sequence[str],
     *,
     max_broadcast_bytes: int = BROADCAST_BYTES,
+    max_sketch_bytes: int = SKETCH_BYTES,
 ) -> DataFrame:
     """The rows of ``incoming`` whose key ``base`` does not have, one per key.
 
@@ -43,10 +45,13 @@ def rows_to_append(
 
     Only keys of ``base`` are read, reduced to distinct ones before they are shuffled.
     They are not shuffled at all where the keys of ``incoming`` are few: one aggregation
-    over these checks that first.
+    over these checks that first. Where these are too many to broadcast but a Bloom sketch of
+    them is not, keys of ``base`` that it rules out are not shuffled.
     """
     names = key_names(key)
-    keys, few = keys_worth_comparing(base, incoming, names, max_broadcast_bytes)
+    keys, few = keys_worth_comparing(
+        base, incoming, names, max_broadcast_bytes, max_sketch_bytes
+    )
     present = keys.select(key_struct(names).alias("__present")).distinct()
     if not few:
         # Else Spark may broadcast after all, by its own estimate of the size.
@@ -66,6 +71,7 @@ def append_if_absent(
     order: str | Sequence[str],
     *,
     max_broadcast_bytes: int = BROADCAST_BYTES,
+    max_sketch_bytes: int = SKETCH_BYTES,
 ) -> DataFrame:
     """``base`` as it is, followed by ``rows_to_append``. Existing rows always win.
 
@@ -73,7 +79,12 @@ def append_if_absent(
     """
     return base.unionByName(
         rows_to_append(
-            base, incoming, key, order, max_broadcast_bytes=max_broadcast_bytes
+            base,
+            incoming,
+            key,
+            order,
+            max_broadcast_bytes=max_broadcast_bytes,
+            max_sketch_bytes=max_sketch_bytes,
         )
     )
 

@@ -34,16 +34,19 @@ def row_bytes(df: DataFrame) -> Column:
     return size
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """The rows of ``df``, and the bytes they take in a broadcast, by one aggregation."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return rows, size or 0
+
+
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True if all of ``df`` takes ``max_bytes`` at most.
 
-    Runs one aggregation over ``df`` and brings back one number. ``max_bytes=0`` answers
-    no without running anything.
+    Runs one aggregation over ``df`` and brings back one row. ``max_bytes=0`` answers no
+    without running anything.
     """
-    if max_bytes <= 0:
-        return False
-    total = df.agg(F.sum(row_bytes(df))).first()[0]
-    return (total or 0) <= max_bytes
+    return max_bytes > 0 and measured(df)[1] <= max_bytes
 
 
 def hot_bounds(rows: int, size: int, hot_rows: int, hot_bytes: int) -> tuple[int, int]:

@@ -22,8 +22,10 @@ REPLIES = ("y", "yes please", " YES ", "n", "", "yEs", "y\n", "Y")
 
 
 # Queries ending in _by_shuffle leave out the size check, and with it the broadcast: they
-# take the way that tables too big to broadcast take.
+# take the way that tables too big to broadcast take. Those ending in _by_sketch broadcast a
+# Bloom sketch of the keys, as for keys too many to be broadcast themselves.
 BY_SHUFFLE = {"max_broadcast_bytes": 0}
+BY_SKETCH = {"max_broadcast_bytes": 1}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,6 +146,10 @@ def append_if_absent_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append_if_absent(spark, sf_dir, **BY_SHUFFLE)
 
 
+def append_if_absent_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return append_if_absent(spark, sf_dir, **BY_SKETCH)
+
+
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").select(
         "user_id", "event_id", "ts", "event_type", "value"
@@ -249,6 +255,10 @@ def missing_inputs_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_inputs(spark, sf_dir, **BY_SHUFFLE)
 
 
+def missing_inputs_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_inputs(spark, sf_dir, **BY_SKETCH)
+
+
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "append_rows")
     customer = _table(spark, sf_dir, "customer")
@@ -339,6 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         neutralise_lines,
         append_if_absent,
         append_if_absent_by_shuffle,
+        append_if_absent_by_sketch,
         latest_per_key,
         allocate_free_names,
         allocate_free_names_by_blocks,
@@ -354,6 +365,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reconcile_chunks,
         missing_inputs,
         missing_inputs_by_shuffle,
+        missing_inputs_by_sketch,
         append_rows,
         append_batches,
         ensure_header,
@@ -577,6 +589,8 @@ ORACLE_SQL: dict[str, str] = {
 }
 for _name in ("append_if_absent", "lookup_labels", "lookup_null_values", "missing_inputs"):
     ORACLE_SQL[f"{_name}_by_shuffle"] = ORACLE_SQL[_name]
+for _name in ("append_if_absent", "missing_inputs"):
+    ORACLE_SQL[f"{_name}_by_sketch"] = ORACLE_SQL[_name]
 ORACLE_SQL["allocate_free_names_by_blocks"] = ORACLE_SQL["allocate_free_names"]
 for _name in ("ensure_header_hot", "replace_groups", "publish_groups"):
     ORACLE_SQL[_name] = ORACLE_SQL["ensure_header"]
