@@ -10,6 +10,13 @@ from linewright.operators.integrity import (
     missing_inputs,
     reconcile_digests,
 )
+from linewright.operators.kept import (
+    found_registry,
+    free_intervals,
+    keep_latest,
+    read_latest,
+    reserve_names,
+)
 from linewright.operators.keyed import (
     append_if_absent,
     latest_per_key,
@@ -63,8 +70,11 @@ __all__ = [
     "drop_replaced",
     "drop_staged",
     "ensure_header",
+    "found_registry",
+    "free_intervals",
     "having_marker",
     "header_rows",
+    "keep_latest",
     "latest_per_key",
     "list_files",
     "lookup_with_default",
@@ -73,12 +83,14 @@ __all__ = [
     "publish_groups",
     "read_batches",
     "read_groups",
+    "read_latest",
     "read_lines",
     "read_manifest",
     "read_texts",
     "reconcile_chunks",
     "reconcile_digests",
     "replace_groups",
+    "reserve_names",
     "rows_to_append",
     "stem_counts",
 ]

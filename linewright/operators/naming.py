@@ -42,7 +42,7 @@ def _without_number(name: Column) -> Column:
     return F.rtrim(name, F.lit(_DIGITS))
 
 
-def _taken_numbers(taken: DataFrame) -> DataFrame:
+def taken_numbers(taken: DataFrame) -> DataFrame:
     """``(__base, __number)`` of each taken name; 0 stands for the bare base.
 
     Left out are names that cannot be asked for: numbers alone or with leading zeros.
@@ -60,7 +60,7 @@ def _taken_numbers(taken: DataFrame) -> DataFrame:
     )
 
 
-def _check_bases(asked: DataFrame) -> int:
+def check_bases(asked: DataFrame) -> int:
     """Raise on a base that is empty or ends in a digit; else tell the size of them all."""
     name = F.col("__base")
     valid = (name != "") & (name == _without_number(name))
@@ -141,11 +141,11 @@ def allocate_free_names(
         for field in requests.schema.fields
         if field.name not in (base, *orders) and is_orderable(field.dataType)
     ]
-    numbers = _taken_numbers(taken)
+    numbers = taken_numbers(taken)
     asked = requests.groupBy(F.col(f"`{base}`").alias("__base")).agg(
         F.count(F.lit(1)).alias("__rows"), F.sum(row_bytes(requests)).alias("__bytes")
     )
-    if _check_bases(asked) <= max_broadcast_bytes:
+    if check_bases(asked) <= max_broadcast_bytes:
         numbers = with_keys_of(numbers, asked, "__base")
     hot = _hot_bases(asked, numbers, hot_rows, hot_bytes)
     if not hot:

@@ -158,6 +158,19 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("user_id", "event_id", "event_type", "value")
 
 
+def keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same kept up to date by batches of events, the newest first, one of them twice."""
+    folder = fresh_dir(spark, "keep_latest")
+    events = _table(spark, sf_dir, "events").select(
+        "user_id", "event_id", "ts", "event_type", "value"
+    )
+    for at in (3, 1, 0, 1, 2):
+        batch = events.where(F.col("event_id") % 4 == at)
+        lw.keep_latest(batch, folder, "user_id", ["ts", "event_id"], buckets=16)
+    kept = lw.read_latest(spark, folder)
+    return kept.select("user_id", "event_id", "event_type", "value")
+
+
 def allocate_free_names(spark: SparkSession, sf_dir: str, **sizes: Any) -> DataFrame:
     """Part names made unique; name and size, with size 1 as none, are taken already."""
     part = _table(spark, sf_dir, "part")
@@ -175,6 +188,24 @@ def allocate_free_names_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame
     return allocate_free_names(spark, sf_dir, hot_rows=max(1, n_rows // 100))
 
 
+def reserve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same names from a kept registry, in three runs: by thirds of the parts in order."""
+    folder = fresh_dir(spark, "reserve_names")
+    part = _table(spark, sf_dir, "part")
+    less_one = F.col("p_size") - 1
+    number = F.when(less_one > 0, less_one.cast("string")).otherwise("")
+    lw.found_registry(part.select(F.concat("p_name", number).alias("taken")), folder, buckets=16)
+    requests = part.select("p_partkey", "p_name")
+    most = requests.agg(F.max("p_partkey")).first()[0] or 0
+    third = F.expr(f"least(p_partkey * 3 div {most + 1}, 2)")
+    runs = [
+        lw.reserve_names(requests.where(third == at), folder, "p_name", "p_partkey")
+        for at in range(3)
+    ]
+    named = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    return named.select("p_partkey", "name")
+
+
 def stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lw.stem_counts(_table(spark, sf_dir, "pages"), "url", "none")
 
@@ -351,8 +382,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         append_if_absent_by_shuffle,
         append_if_absent_by_sketch,
         latest_per_key,
+        keep_latest,
         allocate_free_names,
         allocate_free_names_by_blocks,
+        reserve_names,
         stem_counts,
         lookup_with_default,
         lookup_labels,
@@ -591,6 +624,8 @@ for _name in ("append_if_absent", "lookup_labels", "lookup_null_values", "missin
     ORACLE_SQL[f"{_name}_by_shuffle"] = ORACLE_SQL[_name]
 for _name in ("append_if_absent", "missing_inputs"):
     ORACLE_SQL[f"{_name}_by_sketch"] = ORACLE_SQL[_name]
-ORACLE_SQL["allocate_free_names_by_blocks"] = ORACLE_SQL["allocate_free_names"]
+for _name in ("allocate_free_names_by_blocks", "reserve_names"):
+    ORACLE_SQL[_name] = ORACLE_SQL["allocate_free_names"]
+ORACLE_SQL["keep_latest"] = ORACLE_SQL["latest_per_key"]
 for _name in ("ensure_header_hot", "replace_groups", "publish_groups"):
     ORACLE_SQL[_name] = ORACLE_SQL["ensure_header"]

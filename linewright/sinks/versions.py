@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from types import EllipsisType
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,21 +36,24 @@ VERSION, FOLDER = "version", "folder"
 
 @dataclass(frozen=True)
 class Pointer:
+    """What a table's newest pointer says; ``facts`` is what its writers want to remember."""
+
     number: int
     version: str
     group: str
     schema: T.StructType
+    facts: dict[str, Any]
 
 
-def _pointer(spark: SparkSession, path: str) -> Pointer | None:
-    """What the table's newest pointer says."""
+def newest(spark: SparkSession, path: str) -> Pointer | None:
+    """The newest pointer of the table at ``path``; none if there is no table."""
     folder = f"{path.rstrip('/')}/current"
     numbers = [name for name in commits.names(spark, folder) if name.isdigit()]
     if not numbers:
         return None
     said = json.loads(commits.read(spark, f"{folder}/{max(numbers)}"))
     schema = T.StructType.fromJson(said["schema"])
-    return Pointer(int(max(numbers)), said["version"], said["group"], schema)
+    return Pointer(int(max(numbers)), said["version"], said["group"], schema, said["facts"])
 
 
 def _folder(group: Column) -> Column:
@@ -76,14 +81,21 @@ def _stored(spark: SparkSession, path: str, versions: list[str], schema: T.Struc
 
 
 def publish_groups(
-    df: DataFrame, path: str, group: str, *, removed: DataFrame | None = None
+    df: DataFrame,
+    path: str,
+    group: str,
+    *,
+    removed: DataFrame | None = None,
+    after: Pointer | None | EllipsisType = ...,
+    facts: dict[str, Any] | None = None,
 ) -> str:
     """Put ``df`` in place of those groups of the table at ``path`` that occur in it, or add
     them; groups of ``removed``, a column of that name, leave the table. Returns the version.
 
     Nothing is seen of it before the last step, one rename. Other groups are neither read nor
     written again. If another job has published meanwhile, this one fails with
-    ``AlreadyThere`` and changes nothing; run it again on what is there now.
+    ``AlreadyThere`` and changes nothing; run it again on what is there now. With ``after``,
+    meanwhile begins where that pointer was the newest, for rows made of what it leads to.
 
     Rows are dealt to tasks by group, of which adaptive execution splits big ones and joins
     small ones. ``group`` stays a column of the files, so its type and nulls are kept.
@@ -92,7 +104,9 @@ def publish_groups(
     if taken:
         raise ValueError(f"columns that a versioned table has itself: {taken}")
     spark, root = df.sparkSession, path.rstrip("/")
-    before = _pointer(spark, path)
+    before = newest(spark, path)
+    if after is not ... and after != before:
+        raise commits.AlreadyThere(f"{root}: published since")
     if before is not None and (before.group, before.schema) != (group, _nullable(df.schema)):
         raise ValueError(
             f"the table at {path} is by {before.group!r}, of {before.schema.simpleString()}"
@@ -112,7 +126,12 @@ def publish_groups(
         kept = _groups(spark, path, before).join(gone.distinct(), FOLDER, "left_anti")
         lists = kept.select(VERSION, FOLDER).unionByName(lists)
     lists.write.parquet(f"{root}/groups/{version}")
-    said = {"version": version, "group": group, "schema": _nullable(df.schema).jsonValue()}
+    said = {
+        "version": version,
+        "group": group,
+        "schema": _nullable(df.schema).jsonValue(),
+        "facts": facts if facts is not None else before.facts if before else {},
+    }
     number = before.number + 1 if before else 1
     commits.create(spark, f"{root}/current/{number:019d}", json.dumps(said))
     return version
@@ -122,21 +141,34 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
 
 
-def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the table at ``path``, as its newest pointer has them.
+def read_groups(
+    spark: SparkSession,
+    path: str,
+    only: Sequence[Any] | None = None,
+    *,
+    at: Pointer | None = None,
+) -> DataFrame:
+    """The rows of the table at ``path``, as its newest pointer has them, or ``at`` another.
+
+    With ``only`` a list of groups, nothing of others is read.
 
     The driver learns the versions still in use; folders of groups that a later version has
     replaced are left out by a join with the list of groups, which prunes them from the scan
     where the list is small enough to broadcast.
     """
-    pointer = _pointer(spark, path)
+    pointer = at or newest(spark, path)
     if pointer is None:
         raise FileNotFoundError(f"no versioned table at {path}")
     groups = _groups(spark, path, pointer)
+    if only is not None:
+        folders = ["-" if one is None else f"+{one}" for one in only]
+        groups = groups.where(F.col(FOLDER).isin(folders))
     versions = [row[0] for row in groups.select(VERSION).distinct().collect()]
     if not versions:
         return spark.createDataFrame([], pointer.schema)
     rows = _stored(spark, path, versions, pointer.schema)
+    if only is not None:
+        rows = rows.where(F.col(FOLDER).isin(folders))
     wanted = groups.select(F.col(VERSION).alias("__version"), F.col(FOLDER).alias("__folder"))
     wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted.hint("merge")
     ours = (F.col(VERSION) == F.col("__version")) & (F.col(FOLDER) == F.col("__folder"))
@@ -149,7 +181,7 @@ def drop_replaced(spark: SparkSession, path: str) -> int:
 
     Tasks delete what the comparison of folders with the list of groups leaves over.
     """
-    pointer = _pointer(spark, path)
+    pointer = newest(spark, path)
     if pointer is None:
         raise FileNotFoundError(f"no versioned table at {path}")
     root = path.rstrip("/")

@@ -175,9 +175,9 @@ def test_a_replacement_killed_on_the_way_shows_nothing(spark, tmp_path, monkeypa
 def test_of_two_replacements_at_a_time_one_fails(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     lw.publish_groups(_rows(spark, *OLD), path, "grp")
-    seen = versions._pointer(spark, path)
+    seen = versions.newest(spark, path)
     lw.publish_groups(_rows(spark, ("a", 10)), path, "grp")
-    monkeypatch.setattr(versions, "_pointer", lambda *args: seen)
+    monkeypatch.setattr(versions, "newest", lambda *args: seen)
     with pytest.raises(lw.AlreadyThere):
         lw.publish_groups(_rows(spark, ("b", 30)), path, "grp")
     monkeypatch.undo()
@@ -222,6 +222,22 @@ def test_a_process_killed_between_two_groups(spark, tmp_path):
     assert _all(lw.read_groups(spark, path)) == [("a", 10), ("b", 20)]
 
 
+def test_replacements_made_of_an_older_version_fail(spark, tmp_path):
+    path = str(tmp_path / "t")
+    lw.publish_groups(_rows(spark, *OLD), path, "grp", after=None, facts={"x": 1})
+    seen = versions.newest(spark, path)
+    lw.publish_groups(_rows(spark, ("a", 10)), path, "grp", after=seen)
+    with pytest.raises(lw.AlreadyThere):
+        lw.publish_groups(_rows(spark, ("a", 20)), path, "grp", after=seen)
+    with pytest.raises(lw.AlreadyThere):
+        lw.publish_groups(_rows(spark, ("a", 20)), path, "grp", after=None)
+    assert versions.newest(spark, path).facts == {"x": 1}
+    assert _all(lw.read_groups(spark, path, at=seen)) == sorted(OLD, key=repr)
+    some = lw.read_groups(spark, path, ["a", None, "unknown"])
+    assert _all(some) == [("a", 10), (None, 4)]
+    assert lw.read_groups(spark, path, []).collect() == []
+
+
 def test_pointers_are_whole_files(spark, tmp_path):
     path = str(tmp_path / "p" / "1")
     commits.create(spark, path, json.dumps({"x": "ö"}))
