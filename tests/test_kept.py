@@ -1,0 +1,202 @@
+"""Tables kept from run to run: latest rows, free names; and the running sums below them."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import linewright as lw
+from linewright.plans.running import in_pieces, max_before, ranked, sum_before
+from linewright.sinks import versions
+
+
+def _all(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("tasks", ["1", "7"])
+def test_running_sums_of_cut_groups(spark, tasks):
+    draw = random.Random(1)
+    rows = [(draw.choice("aaaaab"), draw.randrange(50), at, draw.randrange(-9, 9)) for at in range(400)]
+    rows += [("c", 1, 400, 5)]
+    df = spark.createDataFrame(rows, "g string, o int, id int, v long")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        pieces = in_pieces(df, "g", ["o", "id"])
+        found = max_before(sum_before(ranked(pieces, "g", "r"), "g", F.col("v"), "s"), "g", F.col("v"), "m")
+        got = {row.id: (row.r, row.s, row.m) for row in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    for group in "abc":
+        own = sorted((r for r in rows if r[0] == group), key=lambda r: r[1:3])
+        for at, row in enumerate(own):
+            before = [r[3] for r in own[:at]]
+            assert got[row[2]] == (at, sum(before), max(before, default=None))
+
+
+# -- latest rows -------------------------------------------------------------------------
+
+SCHEMA = "k string, t int, v string"
+
+
+def _batches():
+    draw = random.Random(2)
+    rows = [(draw.choice([None, "", *"abcdefgh"]), draw.choice([None, *range(20)]), str(n)) for n in range(120)]
+    return [rows[:50], rows[50:55], rows[20:60], [], rows[60:]]
+
+
+def test_latest_rows_are_kept(spark, tmp_path):
+    path, seen = str(tmp_path / "t"), []
+    for batch in _batches():
+        seen += batch
+        lw.keep_latest(spark.createDataFrame(batch, SCHEMA), path, "k", ["t", "v"], buckets=5)
+        wanted = lw.latest_per_key(spark.createDataFrame(seen, SCHEMA), "k", ["t", "v"])
+        found = lw.read_latest(spark, path)
+        assert found.columns == ["k", "t", "v"] and _all(found) == _all(wanted)
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.range(2000).select("id", F.lit(0).alias("t"), F.lit("old").alias("v"))
+    assert lw.keep_latest(first, path, "id", "t", buckets=64) == list(range(64))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "data").rglob("*.parquet")}
+    batch = spark.createDataFrame([(5, 1, "new"), (5, 0, "older"), (9000, 1, "new")], "id long, t int, v string")
+    touched = lw.keep_latest(batch, path, "id", "t", buckets=64)
+    assert len(touched) <= 2
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "data").rglob("*.parquet")}
+    assert before.items() <= after.items()
+    assert {f.parent.name for f in after.keys() - before.keys()} == {f"folder=+{b}" for b in touched}
+    found = lw.read_latest(spark, path)
+    assert found.count() == 2001 and _all(found.where("v <> 'old'")) == [(5, 1, "new"), (9000, 1, "new")]
+
+
+def test_latest_rows_keep_to_their_terms(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, "x")], SCHEMA)
+    lw.keep_latest(rows, path, "k", "t", buckets=4)
+    with pytest.raises(ValueError, match="is kept by"):
+        lw.keep_latest(rows, path, "v", "t")
+    with pytest.raises(ValueError, match="of their own"):
+        lw.keep_latest(rows.withColumnRenamed("v", "bucket"), path, "k", "t")
+    assert lw.keep_latest(rows, path, "k", "t") != []  # the table's own number of buckets holds
+    assert lw.keep_latest(rows.limit(0), path, "k", "t") == []
+
+
+def test_of_two_runs_at_a_time_one_fails(spark, tmp_path, monkeypatch):
+    from linewright.operators import kept
+
+    path = str(tmp_path / "t")
+    lw.keep_latest(spark.createDataFrame([("a", 1, "x")], SCHEMA), path, "k", "t", buckets=4)
+    seen = versions.newest(spark, path)
+    lw.keep_latest(spark.createDataFrame([("a", 2, "y")], SCHEMA), path, "k", "t")
+    monkeypatch.setattr(kept, "newest", lambda *args: seen)
+    with pytest.raises(lw.AlreadyThere):
+        lw.keep_latest(spark.createDataFrame([("a", 3, "z")], SCHEMA), path, "k", "t")
+    monkeypatch.undo()
+    assert _all(lw.read_latest(spark, path)) == [("a", 2, "y")]
+
+
+# -- free names --------------------------------------------------------------------------
+
+
+def _name(base, number):
+    return base + (str(number) if number else "")
+
+
+def _plain(requests, taken):
+    names, found = set(taken), []
+    for at, base in sorted(requests):
+        number = 0
+        while _name(base, number) in names:
+            number += 1
+        names.add(_name(base, number))
+        found.append((at, base, _name(base, number)))
+    return sorted(found), names
+
+
+def _intervals(names, bases):
+    """Free intervals of each base, from the names that are taken."""
+    found = set()
+    for base in bases:
+        numbers = sorted(n for n in range(400) if _name(base, n) in names)
+        first = 0
+        for number in numbers:
+            if number > first:
+                found.add((base, first, number - 1))
+            first = number + 1
+        if numbers:
+            found.add((base, first, None))
+    return found
+
+
+def test_runs_in_a_row_equal_one_run(spark, tmp_path):
+    draw = random.Random(3)
+    bases = ["hot"] * 12 + ["a", "b b", "ö/", "never"]
+    taken = [_name(draw.choice(bases[:-1]), draw.randrange(90)) for _ in range(250)]
+    taken += ["x01", "77", "", None, "z9" + "9" * 30, "only3"]
+    requests = [(at, draw.choice(bases)) for at in range(300)]
+    path = str(tmp_path / "registry")
+    lw.found_registry(spark.createDataFrame([(n,) for n in taken], "n string"), path, buckets=3)
+    names, got = set(taken), []
+    for start in (0, 10, 200):
+        stop = {0: 10, 10: 200, 200: 300}[start]
+        part = spark.createDataFrame(requests[start:stop], "id int, base string")
+        run = _all(lw.reserve_names(part, path, "base", "id"))
+        wanted, names = _plain(requests[start:stop], names)
+        assert run == sorted(wanted, key=repr)
+        got += run
+    whole, _ = _plain(requests, taken)
+    assert sorted(got) == whole and len({name for _, _, name in got}) == 300
+    at_once = lw.allocate_free_names(
+        spark.createDataFrame(requests, "id int, base string"),
+        spark.createDataFrame([(n,) for n in taken], "n string"), "base", "id",
+    )
+    assert _all(at_once) == sorted(got, key=repr)
+    free = {tuple(row) for row in lw.free_intervals(spark, path).collect()}
+    assert free == _intervals({n for n in names if n}, {*bases, "only", "x"} - {"x"})
+
+
+def test_registries_of_nothing_and_nothing_asked(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    none = spark.createDataFrame([], "n string")
+    with pytest.raises(FileNotFoundError):
+        lw.reserve_names(spark.createDataFrame([], "id int, base string"), path, "base", "id")
+    lw.found_registry(none, path, buckets=2)
+    empty = spark.createDataFrame([], "id int, base string")
+    assert lw.reserve_names(empty, path, "base", "id").collect() == []
+    two = spark.createDataFrame([(1, "x"), (2, "x")], "id int, base string")
+    assert _all(lw.reserve_names(two, path, "base", "id")) == [(1, "x", "x"), (2, "x", "x1")]
+    assert _all(lw.reserve_names(two, path, "base", "id")) == [(1, "x", "x2"), (2, "x", "x3")]
+    for base in ("x1", "", None):
+        bad = spark.createDataFrame([(1, base)], "id int, base string")
+        with pytest.raises(ValueError, match="must be non-empty"):
+            lw.reserve_names(bad, path, "base", "id")
+    with pytest.raises(ValueError, match="already"):
+        lw.reserve_names(two.withColumn("name", F.lit(1)), path, "base", "id")
+
+
+def test_a_reservation_overtaken_by_another_fails(spark, tmp_path, monkeypatch):
+    from linewright.operators import kept
+
+    path = str(tmp_path / "registry")
+    one = spark.createDataFrame([(1, "x")], "id int, base string")
+    lw.found_registry(spark.createDataFrame([("x",)], "n string"), path, buckets=2)
+    seen = versions.newest(spark, path)
+    assert _all(lw.reserve_names(one, path, "base", "id")) == [(1, "x", "x1")]
+    monkeypatch.setattr(kept, "newest", lambda *args: seen)
+    with pytest.raises(lw.AlreadyThere):
+        lw.reserve_names(one, path, "base", "id")
+    monkeypatch.undo()
+    assert _all(lw.reserve_names(one, path, "base", "id")) == [(1, "x", "x2")]
+
+
+def test_registries_read_buckets_of_the_bases_asked_for(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    taken = spark.range(500).select(F.concat(F.lit("b"), F.col("id").cast("string"), F.lit("_")).alias("n"))
+    lw.found_registry(taken, path, buckets=32)
+    before = {f for f in (tmp_path / "registry" / "data").rglob("*.parquet")}
+    one = spark.createDataFrame([(1, "b7_")], "id int, base string")
+    assert _all(lw.reserve_names(one, path, "base", "id")) == [(1, "b7_", "b7_1")]
+    new = {f for f in (tmp_path / "registry" / "data").rglob("*.parquet")} - before
+    assert len({f.parent.name for f in new}) == 1
