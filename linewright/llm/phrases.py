@@ -7,11 +7,15 @@ term by term from the rarest in the whole corpus: it shifts each posting list by
 offset and intersects, so most windows end after one or two short lists. With ``slop`` each
 term may stand that many words off its place: proximity matches in place of exact phrases.
 
-The benchmark is taken in slices of at most ``MOST_BYTES`` of text (one item at least), as
-each task holds a slice's terms; a larger benchmark takes more passes.
+Equal item texts are searched once, whatever items have them. The distinct texts are taken in
+slices of about ``MOST_BYTES``, cut where their running sum passes it, as the driver and each
+task hold a slice's windows, which take some 350 times that; a larger benchmark takes more
+passes. A single text above that is a slice of its own. Item ids stay in a table, which is
+joined to the texts found.
 
-Null texts have no words. Items without words, or with a null id, have no window; repeated
-items count once. Repeated documents keep a row each.
+Null texts have no words, and items without words no window. Words in windows of an item with a
+null id are hit like any other; such items, having no name, are in no list or count of items.
+Repeated items count once. Repeated documents keep a row each.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ from pyspark.sql import functions as F
 
 from linewright.llm.common import keyed, same_row
 from linewright.plans.durable import durable
+from linewright.plans.keys import key_struct
+from linewright.plans.running import in_pieces, sum_before
 
 WINDOW = 13
 # A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
-MOST_BYTES = 16 << 20
+MOST_BYTES = 1 << 20
 
 # ASCII characters outside words become spaces, A-Z become a-z.
 IN_WORD = bytes(
@@ -43,9 +49,9 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(IN_WORD).split()
 
 
-def windows(items: list[tuple[str, bytes]]) -> dict[tuple[bytes, ...], set[str]]:
-    """Windows of 13 words, or a shorter item's all, with the items that hold them."""
-    found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+def windows(items: list[tuple[int, bytes]]) -> dict[tuple[bytes, ...], set[int]]:
+    """Windows of 13 words, or a shorter item's all, with the texts that hold them."""
+    found: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
     for item, text in items:
         terms = words(text)
         for at in range(max(1, len(terms) - WINDOW + 1) if terms else 0):
@@ -102,24 +108,22 @@ def meeting(starts: np.ndarray, postings: np.ndarray, offset: int, slop: int) ->
 def search(
     index: DataFrame,
     vocabulary: dict[bytes, int],
-    phrases: dict[tuple[bytes, ...], set[str]],
+    phrases: dict[tuple[bytes, ...], set[int]],
     slop: int = 0,
 ) -> DataFrame:
     """``(doc_id, text_key, n_words, hits, items)``: the positions of the words in the
-    windows that occur, and the items that these belong to."""
+    windows that occur, and the numbers of the texts that these belong to."""
     spread = {
         row["term"]: row["count"]
         for row in index.select(F.explode("terms").alias("term")).groupBy("term").count().collect()
     }  # one row per term of the vocabulary at most
     led: dict[int, list] = defaultdict(list)
-    names = sorted({item for items in phrases.values() for item in items})
-    number = {item: at for at, item in enumerate(names)}
     for phrase, items in phrases.items():
         terms = [vocabulary[term] for term in phrase]
         if all(term in spread for term in terms):
             order = sorted(range(len(terms)), key=lambda at: (spread[terms[at]], at))
             steps = [(terms[at], at) for at in order]
-            led[steps[0][0]].append((steps, len(terms), [number[item] for item in items]))
+            led[steps[0][0]].append((steps, len(terms), sorted(items)))
     leads = np.array(sorted(led), np.int32)
     id_type = index.schema["doc_id"].dataType.simpleString()
 
@@ -158,20 +162,31 @@ def search(
                     spots = (starts[:, None] + np.arange(length)).ravel()
                     hit.update(spots[(spots >= 0) & (spots < n_words[at])].tolist())
                 hits.append(sorted(hit))
-                found.append(sorted(names[item] for item in items))
+                found.append(sorted(items))
             yield pa.RecordBatch.from_arrays(
                 [
                     *[part.column(at) for at in range(3)],
                     pa.array(hits, pa.list_(pa.int32())),
-                    pa.array(found, pa.list_(pa.string())),
+                    pa.array(found, pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "text_key", "n_words", "hits", "items"],
             )
 
-    schema = f"doc_id {id_type}, text_key long, n_words long, hits array<int>, items array<string>"
+    schema = f"doc_id {id_type}, text_key long, n_words long, hits array<int>, items array<long>"
     return index.mapInArrow(run, schema)
 
 
+def sliced(items: DataFrame, most_bytes: int) -> DataFrame:
+    """``(number, slice, text)`` of the distinct texts of ``items``, in slices of about
+    ``most_bytes``."""
+    texts = items.select("text").distinct().withColumn("all", F.lit(0))
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    pieces = in_pieces(hashed, "all", ["hash", "text"])
+    summed = sum_before(pieces, "all", F.octet_length("text"), "before")
+    number = F.col("__at").alias("number")
+    return durable(summed.select(number, F.expr(f"before div {most_bytes}").alias("slice"), "text"))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, slop: int = 0, most_bytes: int = MOST_BYTES
 ) -> DataFrame:
@@ -179,35 +194,43 @@ def contamination(
     rows = keyed(docs, "doc_id", "text")
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")
-    ).where("item is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_slices = size // most_bytes + 1
-    mine = F.pmod(F.xxhash64("text"), F.lit(n_slices))
-    found = None
-    for at in range(n_slices):
-        part = items.where(mine == at).collect()  # a slice, bounded as said above
-        phrases = windows([(row["item"], row["text"].encode()) for row in part])
+    ).where("text is not null")
+    texts = sliced(items, most_bytes)
+    slices = [row[0] for row in texts.select("slice").distinct().orderBy("slice").collect()]
+    parts = []
+    for at in slices or [0]:
+        part = texts.where(F.col("slice") == at).collect()  # bounded as said above
+        phrases = windows([(row["number"], row["text"].encode()) for row in part])
         terms = sorted({term for phrase in phrases for term in phrase})
         vocabulary = {term: number for number, term in enumerate(terms)}
-        one = search(build_index(rows, vocabulary), vocabulary, phrases, slop)
-        found = one if found is None else found.unionByName(one)
-    merged = (
-        found.groupBy("doc_id", "text_key")
-        .agg(
-            (F.count(F.lit(1)) / n_slices).cast("int").alias("n_rows"),
-            F.max("n_words").alias("n_words"),
-            F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
-        .withColumn("row", F.explode(F.expr("sequence(1, n_rows)")))
+        parts.append(durable(search(build_index(rows, vocabulary), vocabulary, phrases, slop)))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    merged = found.groupBy("doc_id", "text_key").agg(
+        (F.count(F.lit(1)) / len(parts)).cast("int").alias("n_rows"),
+        F.max("n_words").alias("n_words"),
+        F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"),
+    )
+    named = texts.join(items.where("item is not null"), "text").select("number", "item")
+    owned = found.where(F.size("items") > 0).select(
+        key_struct(["doc_id", "text_key"]).alias("row"), F.explode("items").alias("number")
+    )
+    lists = (
+        owned.distinct()
+        .join(named, "number")
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
+    every = merged.join(lists, key_struct(["doc_id", "text_key"]) == F.col("row"), "left")
+    one_each = every.withColumn("row", F.explode(F.expr("sequence(1, n_rows)")))
     n_hit = F.size("hits").cast("long")
-    return merged.select(
+    return one_each.select(
         "doc_id",
         "text_key",
         "n_words",
         "hits",
-        "items",
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (ONE_IN * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 

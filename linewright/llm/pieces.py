@@ -3,8 +3,11 @@
 In models whose pieces never hold a whitespace marker after another character, a text may
 be cut before each run of markers, and the chunks segmented apart: no merge crosses a cut.
 Each task keeps a table of the chunks that it has met, segments each of them once, and
-joins ids and decoded text back by position. The table is emptied when it has
-``MOST_CHUNKS`` entries, so a task's memory is bounded however rich the vocabulary.
+joins ids and decoded text back by position. Chunks above ``LONGEST`` characters, as of texts
+without blanks, are segmented where they occur and not kept; the table is emptied when its
+chunks, ids and decoded texts take ``MOST_BYTES``. So a task's memory is bounded however rich
+the vocabulary. A model of which a piece crosses a cut, or whose normaliser changes blanks so
+that chunks apart give other ids than the text whole, is refused with an error.
 
 Null texts are empty: begin and end id only, decoded to the empty text. Repeated rows keep
 a row each; texts of any length are encoded whole.
@@ -22,52 +25,82 @@ from pyspark.sql import functions as F
 
 from linewright.llm.common import batch, keyed, slices
 
-MOST_CHUNKS = 200_000
+MOST_BYTES = 128 << 20
+LONGEST = 128
+ENTRY_BYTES = 400  # of a chunk in the table, besides its characters and ids, generously
 MARK = "▁"
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 PIECE = re.compile(f"{MARK}*[^{MARK}]*", re.DOTALL)
+# Texts of which some normalisers change the blanks.
+PROBES = (
+    "a", " a", "a ", "  a  b ", "a\tb\nc", "a\u3000b", "a\u00a0b", "\ufb01 \uff21", "a\u200bb",
+    f"{MARK} a{MARK}{MARK}b", " ", "   ", "1  2", "e\u0301 x",
+)
 
 
 class ChunkTable:
     """Ids, as little-endian unsigned 32-bit integers, and decoded text of chunks."""
 
-    def __init__(self, model: bytes, most: int = MOST_CHUNKS) -> None:
+    def __init__(self, model: bytes, most: int = MOST_BYTES) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.most = most
+        self.held = 0
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
         self.begin = np.array([self.model.bos_id()], "<u4").tobytes()
         self.end = np.array([self.model.eos_id()], "<u4").tobytes()
 
     def check(self) -> None:
-        """An error if a piece of the model crosses a cut."""
+        """An error if a piece of the model crosses a cut, or its normaliser moves blanks."""
         for at in range(self.model.vocab_size()):
             if not PIECE.fullmatch(self.model.id_to_piece(at)):
                 raise ValueError(f"piece {at} crosses a whitespace marker")
+        for probe in PROBES:
+            ids = self.model.encode(probe, add_bos=True, add_eos=True)
+            if self.encode(probe) != (np.array(ids, "<u4").tobytes(), self.model.decode(ids)):
+                raise ValueError(f"the model's normaliser changes the blanks of {probe!r}")
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [chunk for chunk in chunks if chunk not in self.ids]
+    def coded(self, chunks: list[str]) -> Iterator[tuple[str, bytes, str]]:
+        """Each chunk with its ids and what these decode to."""
         # The model puts a marker before each text, here in place of the chunk's first.
-        coded = self.model.encode([chunk[1:] for chunk in new], num_threads=1)
-        for chunk, ids in zip(new, coded, strict=True):
+        coded = self.model.encode([chunk[1:] for chunk in chunks], num_threads=1)
+        for chunk, ids in zip(chunks, coded, strict=True):
             if len(chunk) == 1:  # a lone marker; the model adds none to the empty text
                 ids = [self.model.piece_to_id(MARK)]
-            self.ids[chunk] = np.array(ids, "<u4").tobytes()
-            self.decoded[chunk] = " " + self.model.decode(ids)
+            yield chunk, np.array(ids, "<u4").tobytes(), " " + self.model.decode(ids)
+
+    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
+        """Puts new chunks in the table; those too long for it come back."""
+        new = [chunk for chunk in chunks if chunk not in self.ids]
+        long = {}
+        for chunk, ids, decoded in self.coded(new):
+            if len(chunk) > LONGEST:
+                long[chunk] = ids, decoded
+                continue
+            self.ids[chunk], self.decoded[chunk] = ids, decoded
+            # A character takes four bytes at most.
+            self.held += ENTRY_BYTES + len(ids) + 4 * (len(chunk) + len(decoded))
+        return long
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """All ids of a text, and the text that they decode to."""
         if not text:
             return self.begin + self.end, ""
         chunks = CHUNK.findall(" " + text)
-        if len(self.ids) > self.most:
+        if self.held > self.most:
             self.ids.clear()
             self.decoded.clear()
-        self.learn(set(chunks))
-        ids = b"".join(map(self.ids.__getitem__, chunks))
-        decoded = "".join(map(self.decoded.__getitem__, chunks))
+            self.held = 0
+        long = self.learn(set(chunks))
+        if not long:
+            ids = b"".join(map(self.ids.__getitem__, chunks))
+            decoded = "".join(map(self.decoded.__getitem__, chunks))
+        else:
+            known = [long.get(c) or (self.ids[c], self.decoded[c]) for c in chunks]
+            ids = b"".join(one for one, _ in known)
+            decoded = "".join(one for _, one in known)
         return self.begin + ids + self.end, decoded[1:]
 
 

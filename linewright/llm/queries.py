@@ -233,6 +233,44 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM whole LEFT JOIN firsts USING (html)
     """,
+    "op9_decontamination": r"""
+        WITH docs AS MATERIALIZED (
+            SELECT doc_id, list_filter(string_split_regex(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+            FROM documents
+        ), items AS MATERIALIZED (
+            SELECT item_id, list_filter(string_split_regex(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+            FROM benchmark WHERE text IS NOT NULL
+        ), windows AS MATERIALIZED (
+            SELECT DISTINCT item_id, least(13, len(words)) AS size,
+                   unnest(list_transform(range(greatest(len(words) - 12, 1)),
+                       lambda i: array_to_string(words[i + 1:i + 13], ' '))) AS gram
+            FROM items WHERE len(words) > 0
+        ), grams AS MATERIALIZED (
+            SELECT doc_id, size, unnest(range(len(words) - size + 1)) AS start,
+                   unnest(list_transform(range(len(words) - size + 1),
+                       lambda i: array_to_string(words[i + 1:i + size], ' '))) AS gram
+            FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size
+        ), met AS MATERIALIZED (
+            SELECT doc_id, item_id, start, size FROM grams JOIN windows USING (size, gram)
+        ), hits AS (
+            SELECT doc_id, len(list_distinct(flatten(list(range(start, start + size))))) AS n_hit
+            FROM met GROUP BY doc_id
+        ), owners AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met WHERE item_id IS NOT NULL)
+            GROUP BY doc_id
+        )
+        SELECT docs.doc_id, len(words)::BIGINT AS n_words,
+               coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)
+    """,
     "op11_centroid_clustering": _clustering_sql(),
     "op12_merkle_manifest": r"""
         WITH RECURSIVE checked AS (

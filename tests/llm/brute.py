@@ -114,7 +114,9 @@ def contamination(docs, items, window=13):
     for item, text in items:
         words = WORD.findall(lower(text or ""))
         for at in range(max(1, len(words) - window + 1) if words else 0):
-            windows.setdefault(tuple(words[at : at + window]), set()).add(str(item))
+            owners = windows.setdefault(tuple(words[at : at + window]), set())
+            if item is not None:  # hit like any other, but with no name to list
+                owners.add(str(item))
     sizes = {len(w) for w in windows}
     rows = []
     for doc_id, text in docs:
@@ -123,7 +125,7 @@ def contamination(docs, items, window=13):
         for size in sizes:
             for at in range(len(words) - size + 1):
                 owners = windows.get(tuple(words[at : at + size]))
-                if owners:
+                if owners is not None:
                     hit.update(range(at, at + size))
                     found |= owners
         bad = len(hit) > 0 and 20 * len(hit) >= len(words)

@@ -361,8 +361,8 @@ ITEMS = [
 
 def test_decontamination(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    wanted = brute.contamination(TEXTS, [i for i in ITEMS if i[0] is not None])
-    for most_bytes in (1 << 20, 100):
+    wanted = brute.contamination(TEXTS, ITEMS)
+    for most_bytes in (1 << 20, 100, 1):
         found = phrases.digests(phrases.contamination(docs, items, most_bytes=most_bytes))
         assert _sorted(found.collect()) == _sorted(wanted)
     none = phrases.digests(phrases.contamination(docs, items.limit(0))).collect()
@@ -372,6 +372,33 @@ def test_decontamination(spark, docs):
     assert left.columns == docs.columns and left.count() == sum(not row[-1] for row in wanted)
 
 
+def test_one_benchmark_text_under_many_ids(spark):
+    """A text is searched once, whatever ids have it, null ones included."""
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    items = [(n, text) for n in range(3000)] + [(None, text + " omicron"), (None, "solo word pair")]
+    docs = [(1, f"so {text} end"), (2, "solo word pair"), (3, "none of it")]
+    found = phrases.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+        most_bytes=40,
+    )
+    assert _sorted(phrases.digests(found).collect()) == _sorted(brute.contamination(docs, items))
+    assert {r["doc_id"]: (len(r["items"]), r["contaminated"]) for r in found.collect()} == {
+        1: (3000, True), 2: (0, True), 3: (0, False),
+    }
+
+
+def test_slices_of_the_benchmark_are_bounded(spark):
+    texts = [f"word{n} " * RANDOM.randint(1, 30) for n in range(200)]
+    items = spark.createDataFrame([(n % 7, t) for n, t in enumerate(texts * 3)], "item long, text string")
+    rows = phrases.sliced(items, 500).collect()
+    assert sorted(r["text"] for r in rows) == sorted(texts) and len({r["number"] for r in rows}) == 200
+    sizes = Counter()
+    for row in rows:
+        sizes[row["slice"]] += len(row["text"])
+    assert max(sizes.values()) <= 500 + max(map(len, texts)) and len(sizes) >= sum(map(len, texts)) // 800
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "big red very old house"), (2, "house old red big")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red old house")], "item_id long, text string")
@@ -386,7 +413,7 @@ def test_sentencepiece(docs):
     assert pieces.encode(docs.limit(0), model_bytes()).collect() == []
 
 
-TABLE = pieces.ChunkTable(model_bytes(), most=50)
+TABLE = pieces.ChunkTable(model_bytes(), most=20_000)
 
 
 @given(st.text(alphabet=st.one_of(st.sampled_from(" ▁ab\n\x00<s>é　"), st.characters(exclude_categories=["Cs"])), max_size=60))
@@ -398,6 +425,43 @@ def test_chunks_are_what_the_library_gives(text):
     assert decoded == TABLE.model.decode(whole)
 
 
+def test_the_table_of_chunks_is_bounded_by_bytes():
+    """Texts without blanks are one chunk each, which nobody meets again."""
+    table = pieces.ChunkTable(model_bytes(), most=100_000)
+    letters = [chr(0x4E00 + n) for n in range(3000)]
+    most = 0
+    for n in range(300):
+        text = "".join(RANDOM.choices(letters, k=1000)) if n % 2 else " ".join(RANDOM.choices(letters, k=99))
+        ids, decoded = table.encode(text)
+        whole = table.model.encode(text, add_bos=True, add_eos=True)
+        assert np.frombuffer(ids, "<u4").tolist() == whole and decoded == table.model.decode(whole)
+        assert all(len(chunk) <= pieces.LONGEST for chunk in table.ids)
+        most = max(most, table.held)
+    assert most <= 100_000 + 99 * 2 * pieces.ENTRY_BYTES
+
+
+def test_models_that_change_blanks_are_refused(monkeypatch):
+    table = pieces.ChunkTable(model_bytes())
+    table.check()
+
+    class Squeezing:
+        """A model whose normaliser makes one blank of several."""
+
+        def __getattr__(self, name):
+            return getattr(table.model, name)
+
+        def encode(self, text, **options):
+            squeeze = lambda one: re.sub(" +", " ", one).strip()
+            return table.model.encode(
+                squeeze(text) if isinstance(text, str) else list(map(squeeze, text)), **options
+            )
+
+    other = pieces.ChunkTable(model_bytes())
+    other.model = Squeezing()
+    with pytest.raises(ValueError, match="normaliser"):
+        other.check()
+
+
 def test_stages_take_empty_tables(spark, docs, tmp_path):
     for name in ("labels", "benchmark"):
         source = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
