@@ -47,9 +47,11 @@ from linewright.sinks import (
 from linewright.sources import (
     digest_chunks,
     digest_files,
+    index_members,
     list_files,
     read_lines,
     read_manifest,
+    read_member_lines,
     read_texts,
     reconcile_chunks,
 )
@@ -74,6 +76,7 @@ __all__ = [
     "free_intervals",
     "having_marker",
     "header_rows",
+    "index_members",
     "keep_latest",
     "latest_per_key",
     "list_files",
@@ -86,6 +89,7 @@ __all__ = [
     "read_latest",
     "read_lines",
     "read_manifest",
+    "read_member_lines",
     "read_texts",
     "reconcile_chunks",
     "reconcile_digests",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import linewright as lw
 from linewright.plans.durable import fresh_dir
+from linewright.sources.listing import handle, roots
 
 # Fixed values of the queries below, repeated in their SQL.
 LICENCE = "License"
@@ -18,6 +21,8 @@ HEADER = ("# This group had no GNU notice.", "# Its texts were replaced.")
 COLOURS = (("error", "red"), ("click", "green"), ("signup", "yellow"), ("view", "blue"))
 PART = 100  # documents that are written as one file
 CHUNK = 1 << 16
+MEMBER = 1 << 13
+RANGE = 1 << 15
 REPLIES = ("y", "yes please", " YES ", "n", "", "yEs", "y\n", "Y")
 
 
@@ -104,6 +109,38 @@ def reconcile_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_part_of("key"), "offset", "length", "status")
 
 
+def read_member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as gzip files of many members, which cut lines anywhere, read by line."""
+    folder = fresh_dir(spark, "members")
+    _as_members(_parts(spark, sf_dir), folder)
+    index = lw.index_members(spark, folder)
+    lines = lw.read_member_lines(index, RANGE)
+    part = F.regexp_extract("file", "^([0-9]+)[.]gz$", 1).cast("bigint").alias("part")
+    counted = lines.select(part, F.md5("value").alias("line_md5"))
+    return counted.groupBy("part", "line_md5").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _as_members(parts: DataFrame, folder: str) -> None:
+    """Each part as a gzip file with a member for every ``MEMBER`` bytes, written by tasks."""
+    spark = parts.sparkSession
+    shared = folder.rsplit("/", 2)[0]
+    root = roots(spark, shared)[0]
+    below = f"{root.folder}{folder.removeprefix(shared)}"
+
+    def run(batches):
+        system, base = handle(root.store)
+        system.create_dir(base + below)
+        for batch in batches:
+            for part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode() + b"\n"
+                pieces = [data[at : at + MEMBER] for at in range(0, len(data), MEMBER)]
+                with system.open_output_stream(f"{base}{below}/{part}.gz", None) as out:
+                    out.write(b"".join(gzip.compress(piece, 1, mtime=0) for piece in pieces))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["part"])
+
+    parts.select("part", "text").mapInArrow(run, "part long").count()
+
+
 def count_matching_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return lw.count_matching_lines(documents, "doc_id", "text", LICENCE)
@@ -159,16 +196,14 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same kept up to date by batches of events, the newest first, one of them twice."""
+    """The last document of each length in a language, kept up to date by batches: the newest
+    first, one of them twice."""
     folder = fresh_dir(spark, "keep_latest")
-    events = _table(spark, sf_dir, "events").select(
-        "user_id", "event_id", "ts", "event_type", "value"
-    )
+    documents = _table(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id", "source")
     for at in (3, 1, 0, 1, 2):
-        batch = events.where(F.col("event_id") % 4 == at)
-        lw.keep_latest(batch, folder, "user_id", ["ts", "event_id"], buckets=16)
-    kept = lw.read_latest(spark, folder)
-    return kept.select("user_id", "event_id", "event_type", "value")
+        batch = documents.where(F.col("doc_id") % 4 == at)
+        lw.keep_latest(batch, folder, ["lang", "n_chars"], "doc_id", buckets=16)
+    return lw.read_latest(spark, folder)
 
 
 def allocate_free_names(spark: SparkSession, sf_dir: str, **sizes: Any) -> DataFrame:
@@ -189,21 +224,24 @@ def allocate_free_names_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def reserve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same names from a kept registry, in three runs: by thirds of the parts in order."""
+    """A name for each document after its source, from a kept registry, in three runs by thirds
+    of the documents in order; every seventh document has a name already."""
     folder = fresh_dir(spark, "reserve_names")
-    part = _table(spark, sf_dir, "part")
-    less_one = F.col("p_size") - 1
-    number = F.when(less_one > 0, less_one.cast("string")).otherwise("")
-    lw.found_registry(part.select(F.concat("p_name", number).alias("taken")), folder, buckets=16)
-    requests = part.select("p_partkey", "p_name")
-    most = requests.agg(F.max("p_partkey")).first()[0] or 0
-    third = F.expr(f"least(p_partkey * 3 div {most + 1}, 2)")
+    base = F.concat("source", F.lit("_"))
+    documents = _table(spark, sf_dir, "documents").select("doc_id", base.alias("base"), "n_chars")
+    number = F.nullif(F.col("n_chars") % 100, F.lit(0)).cast("string")
+    taken = F.concat("base", F.coalesce(number, F.lit("")))
+    had = documents.where(F.col("doc_id") % 7 == 0)
+    lw.found_registry(had.select(taken.alias("taken")), folder, buckets=16)
+    requests = documents.where(F.col("doc_id") % 7 != 0).select("doc_id", "base")
+    most = requests.agg(F.max("doc_id")).first()[0] or 0
+    third = F.expr(f"doc_id * 3 div {most + 1}")
     runs = [
-        lw.reserve_names(requests.where(third == at), folder, "p_name", "p_partkey")
+        lw.reserve_names(requests.where(third == at), folder, "base", "doc_id")
         for at in range(3)
     ]
     named = runs[0].unionByName(runs[1]).unionByName(runs[2])
-    return named.select("p_partkey", "name")
+    return named.select("doc_id", "name")
 
 
 def stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,15 +348,13 @@ def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by type as a batch each, and then all of them again, as by a job run twice."""
+    """Documents as a batch for each tenth of them, and then all again, as by a job run twice."""
     folder = fresh_dir(spark, "append_batches")
-    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    for _ in range(2):
-        for kind, _ in COLOURS:
-            lw.append_batch(events.where(F.col("event_type") == kind), folder, kind)
-        others = [kind for kind, _ in COLOURS]
-        lw.append_batch(events.where(~F.col("event_type").isin(others)), folder, "others")
-    return lw.read_batches(spark, folder).select("event_id", "user_id", "event_type", "batch")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    for at in [*range(10), *range(10)]:
+        lw.append_batch(documents.where(F.col("doc_id") % 10 == at), folder, f"tenth-{at}")
+    rows = lw.read_batches(spark, folder)
+    return rows.select("doc_id", "source", F.md5("text").alias("text_md5"), "batch")
 
 
 def ensure_header(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,6 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         read_lines,
         read_texts,
+        read_member_lines,
         count_matching_lines,
         count_matching_rows,
         having_marker,
@@ -429,6 +466,14 @@ ORACLE_SQL: dict[str, str] = {
                        THEN '#' || line ELSE line END), chr(10)) || chr(10)) AS text_md5
         FROM parts
     """,
+    "read_member_lines": """
+        WITH lines AS (
+            SELECT doc_id // 100 AS part, unnest(string_split(text, chr(10))) AS line
+            FROM documents
+        )
+        SELECT part, md5(line) AS line_md5, count(*)::BIGINT AS n
+        FROM lines GROUP BY part, line_md5
+    """,
     "count_matching_lines": """
         SELECT doc_id,
                len(list_filter(string_split(text, chr(10)),
@@ -594,10 +639,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s_name, s_acctbal FROM supplier
     """,
     "append_batches": """
-        SELECT event_id, user_id, event_type,
-               CASE WHEN event_type IN ('error', 'click', 'signup', 'view') THEN event_type
-                    ELSE 'others' END AS batch
-        FROM events
+        SELECT doc_id, source, md5(text) AS text_md5, 'tenth-' || (doc_id % 10) AS batch
+        FROM documents
+    """,
+    "keep_latest": """
+        SELECT lang, n_chars, doc_id, source FROM (
+            SELECT *, row_number() OVER (
+                PARTITION BY lang, n_chars ORDER BY doc_id DESC) AS place
+            FROM documents)
+        WHERE place = 1
+    """,
+    "reserve_names": """
+        WITH named AS (
+            SELECT doc_id, source || '_' AS base, n_chars % 100 AS number FROM documents
+        ), taken AS (
+            SELECT base || CASE WHEN number > 0 THEN number::VARCHAR ELSE '' END AS name
+            FROM named WHERE doc_id % 7 = 0
+        ), candidates AS (
+            SELECT base, unnest(range(count(*) + 100)) AS number FROM named GROUP BY base
+        ), free AS (
+            SELECT base, candidate, row_number() OVER (PARTITION BY base ORDER BY number) AS place
+            FROM (SELECT base, number,
+                         base || CASE WHEN number > 0 THEN number::VARCHAR ELSE '' END AS candidate
+                  FROM candidates)
+            WHERE candidate NOT IN (SELECT name FROM taken)
+        ), requests AS (
+            SELECT doc_id, base, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS place
+            FROM named WHERE doc_id % 7 <> 0
+        )
+        SELECT doc_id, candidate AS name FROM requests JOIN free USING (base, place)
     """,
     "ensure_header": """
         WITH marked AS (
@@ -624,8 +694,6 @@ for _name in ("append_if_absent", "lookup_labels", "lookup_null_values", "missin
     ORACLE_SQL[f"{_name}_by_shuffle"] = ORACLE_SQL[_name]
 for _name in ("append_if_absent", "missing_inputs"):
     ORACLE_SQL[f"{_name}_by_sketch"] = ORACLE_SQL[_name]
-for _name in ("allocate_free_names_by_blocks", "reserve_names"):
-    ORACLE_SQL[_name] = ORACLE_SQL["allocate_free_names"]
-ORACLE_SQL["keep_latest"] = ORACLE_SQL["latest_per_key"]
+ORACLE_SQL["allocate_free_names_by_blocks"] = ORACLE_SQL["allocate_free_names"]
 for _name in ("ensure_header_hot", "replace_groups", "publish_groups"):
     ORACLE_SQL[_name] = ORACLE_SQL["ensure_header"]

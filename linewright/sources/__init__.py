@@ -14,13 +14,16 @@ from linewright.sources.contents import (
     reconcile_chunks,
 )
 from linewright.sources.listing import list_files, refused, roots, walk_folders
+from linewright.sources.members import index_members, read_member_lines
 
 __all__ = [
     "digest_chunks",
     "digest_files",
+    "index_members",
     "list_files",
     "read_lines",
     "read_manifest",
+    "read_member_lines",
     "read_texts",
     "reconcile_chunks",
 ]

@@ -29,7 +29,7 @@ TEXT_BYTES = (1 << 31) - 64
 BATCH_BYTES = 32 << 20
 
 
-def _parted(uri: str) -> tuple:
+def parted(uri: str) -> tuple:
     """A file's handle, and its path there."""
     scheme, rest = uri.split("://", 1)
     authority, path = rest.split("/", 1)
@@ -50,7 +50,7 @@ def _dealt(rows: DataFrame, length: str) -> DataFrame:
 def range_md5(uri: str, offset: int, length: int | None = None) -> str:
     """The MD5 of a range of a file, to its end if no length is given."""
     digest, left = hashlib.md5(usedforsecurity=False), length
-    system, path = _parted(uri)
+    system, path = parted(uri)
     with system.open_input_file(path) as source:
         source.seek(min(offset, source.size()))
         while left is None or left > 0:
@@ -195,7 +195,7 @@ def read_texts(
             texts: list[bytes] = []
             held = 0
             for name, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                system, where = _parted(uri)
+                system, where = parted(uri)
                 with system.open_input_stream(where) as source:
                     text = source.read(TEXT_BYTES)
                     if len(text) == TEXT_BYTES:
