@@ -145,8 +145,9 @@ def tokens(docs):
     return rows
 
 
-def licenses(text, templates, least=0.8):
-    """Templates of which some window of op4's grid has ``least`` of the shingles."""
+def licenses(text, templates, least=0.8, lengths=2):
+    """Templates of which some window of so many template lengths, slid by one shingle, has
+    ``least`` of the shingles."""
 
     def shingles(value):
         words = [w for w in re.split("[^a-z0-9]+", value.lower()) if w]
@@ -154,14 +155,63 @@ def licenses(text, templates, least=0.8):
 
     own, found = shingles(text or ""), set()
     for name, template in templates.items():
-        wanted = shingles(template)
-        step = max(1, len(wanted) // 4)
-        for at in range(0, len(own), step):
-            part = set(own[at : at + len(wanted) + step])
-            if len(part & set(wanted)) >= least * len(set(wanted)):
+        listed = shingles(template)
+        wanted, span = set(listed), lengths * len(listed)
+        if len(wanted.intersection(own)) < least * len(wanted):
+            continue
+        for at in range(max(1, len(own) - span + 1)):
+            if len(wanted.intersection(own[at : at + span])) >= least * len(wanted):
                 found.add(name)
+                break
     return found
 
 
 def held_out(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def differenced(sizes, shards):
+    """Sums of the shards by plain Karmarkar-Karp: the two partitions of largest spread are put
+    together, the heaviest part of one with the lightest of the other, until one is left."""
+    parts = [(at, [[size], *[[] for _ in range(shards - 1)]]) for at, size in enumerate(sizes)]
+
+    def spread(partition):
+        sums = [sum(part) for part in partition]
+        return max(sums) - min(sums)
+
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda entry: (-spread(entry[1]), entry[0]))
+        (_, left), (_, right), *rest = parts
+        left, right = sorted(left, key=sum, reverse=True), sorted(right, key=sum)
+        parts = [*rest, (made, [a + b for a, b in zip(left, right, strict=True)])]
+        made += 1
+    return sorted(map(sum, parts[0][1])) if parts else [0] * shards
+
+
+def neighbour_votes(docs, labels, quality):
+    """Scores of op3 from ``(doc_id, text)`` and the labels by id: terms counted as the operator
+    does, all else plainly, in double precision."""
+    counted = {doc_id: quality.counts((text or "").encode()).astype(float) for doc_id, text in docs}
+    every = np.stack([counted[doc_id] for doc_id, _ in docs])
+    rarity = np.log((1 + len(docs)) / (1 + (every > 0).sum(0))) + 1
+
+    def unit(rows):
+        lengths = np.linalg.norm(rows, axis=-1, keepdims=True)
+        return rows / np.where(lengths > 0, lengths, 1)
+
+    train = [i for i in sorted(counted) if i in labels and not held_out(i)]
+    assert len(train) <= quality.TRAIN_ROWS
+    weighted = unit(np.sqrt(np.stack([counted[i] for i in train])) * rarity)
+    _, _, directions = np.linalg.svd(weighted, full_matrices=False)
+    space = directions[: quality.DIMENSIONS].T
+    known = unit(weighted @ space)
+    scores = {}
+    for doc_id, row in counted.items():
+        cosines = known @ unit(unit(np.sqrt(row) * rarity) @ space)
+        nearest = sorted(range(len(train)), key=lambda at: -cosines[at])[: quality.NEIGHBOURS]
+        votes = [(max(cosines[at], 0) ** quality.SHARPNESS, labels[train[at]]) for at in nearest]
+        total = sum(vote for vote, _ in votes)
+        prior = sum(labels[i] for i in train) / len(train)
+        scores[doc_id] = sum(v * label for v, label in votes) / total if total else prior
+    return scores

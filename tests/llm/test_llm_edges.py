@@ -220,6 +220,19 @@ def test_differencing_beats_halves_apart():
     assert sorted(sums.values()) == [14, 16]
 
 
+@pytest.mark.parametrize("n_shards", [2, 3, 24])
+def test_differencing_is_that_of_a_plain_version(n_shards):
+    draw = random.Random(n_shards)
+    for n in (1, 2, 5, 40):
+        sizes = [draw.choice([1, 7, draw.randrange(1, 5000)]) for _ in range(n)]
+        sums = [0] * n_shards
+        for size, shard in zip(sizes, shards.differencing(sizes, n_shards), strict=True):
+            sums[shard] += size
+        wanted = brute.differenced(sizes, n_shards)
+        assert sum(sums) == sum(wanted)
+        assert max(sums) - min(sums) == wanted[-1] - wanted[0]
+
+
 PIECES = ["a", "9", "1", "@", ".", "+", " ", "-", "(", ")", "b.c", "é", "255.", "4111 1111 1111 1111", "+1 988 555 2485", "x@y.z", "http://u:p@h.io", "IBAN GB82 WEST 1234 5698 7654 32", "account no. 1234567"]
 
 

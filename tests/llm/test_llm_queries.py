@@ -59,6 +59,17 @@ def test_quality(spark, duck, docs):
     assert len(tested) > 50 and right >= 0.9 * len(tested)
 
 
+def test_quality_equals_a_plain_vote(spark, duck, docs):
+    found = {r.doc_id: r for r in QUERIES["op3_quality_classifier"](spark, SF_DIR).collect()}
+    labels = dict(duck.execute("SELECT doc_id, quality FROM labels").fetchall())
+    wanted = brute.neighbour_votes(docs, labels, quality)
+    # Single precision may swap neighbours that are equally near.
+    near = [abs(found[doc_id].score - score) < 0.005 for doc_id, score in wanted.items()]
+    assert sum(near) >= 0.98 * len(near)
+    same = [found[doc_id].predicted == (score >= 0.7) for doc_id, score in wanted.items()]
+    assert sum(same) >= 0.99 * len(same)
+
+
 def test_license_scan(spark, docs):
     found = QUERIES["op4_license_scan"](spark, SF_DIR).collect()
     wanted = {
