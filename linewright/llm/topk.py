@@ -2,11 +2,12 @@
 
 The index keeps, per block of vectors, one bitmap per component and bit: bit i says whether
 the block's i-th vector has that bit of that component, counted from the block's least
-value. For a query, the leading slices of the components, weighted by the leading bits of
-the query's own, are added by carry-save adders on whole bitmaps. The sum's slices, walked
-from the most significant one down, give the coarse k-th score; every row whose coarse
-score is within the largest possible remainder of it is a boundary row, and is resolved by
-its exact integer product. So the result is exact whatever is left out of the coarse sum.
+value. For a query, the slices of all components, each as often as its own weight's bits say,
+are added by carry-save adders on whole bitmaps; of negative weights the distance from the
+largest value counts. The slices of the sums are the scores of all rows of the block at once,
+but for a constant. Walked from the most significant one down they split the rows into those
+above the k-th score and those equal to it; of the latter, the boundary, the smallest ids are
+taken. No vector is put together again and no product is made of one.
 
 Queries and blocks meet as blocks: groups of ``QUERY_ROWS`` queries with blocks of
 ``BLOCK_ROWS`` vectors; each meeting keeps k rows a query. Vectors that are null or hold a
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 
 from linewright.llm.common import batch, slices
 from linewright.plans.durable import durable
+from linewright.plans.sizing import BROADCAST_BYTES, fits_broadcast
 
 SCALE = 1024.0
 BLOCK_ROWS = 8192
-QUERY_ROWS = 128
-COARSE_BITS = 6
+QUERY_ROWS = 2048
+BLOCKS_A_TASK = 64
 
 
 def quantised(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -54,42 +56,57 @@ def _matrix(lists: list[list[int]]) -> np.ndarray:
 
 
 class Block:
-    """Bitmaps, as integers, of the bits of a block's components."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.ids, self.rows = ids, rows
-        self.all = (1 << len(rows)) - 1
-        self.low = rows.min(0)
-        spread = rows - self.low
-        self.bits = [int(top).bit_length() for top in spread.max(0)]
-        self.slices = [
-            [
-                int.from_bytes(np.packbits(spread[:, d] >> b & 1, bitorder="little"), "little")
-                for b in range(bits)
-            ]
-            for d, bits in enumerate(self.bits)
-        ]
-
-    def coarse(self, query: np.ndarray) -> tuple[list[int], int]:
-        """Slices of the coarse scores, lowest first, and the largest remainder in their
-        unit."""
-        weights = [abs(int(w)) for w in query]
-        dropped_w = max(0, max(weights, default=0).bit_length() - COARSE_BITS)
-        dropped_v = max(0, max(self.bits, default=0) - COARSE_BITS)
-        levels: list[list[int]] = [[] for _ in range(2 * COARSE_BITS)]
-        rest = 0
-        for d, weight in enumerate(weights):
-            lead = weight >> dropped_w
-            top = (1 << self.bits[d]) - 1
-            rest += (lead << dropped_w) * min(top, (1 << dropped_v) - 1)
-            rest += (weight - (lead << dropped_w)) * top
-            for b in range(dropped_v, self.bits[d]):
-                bitmap = self.slices[d][b]
-                if query[d] < 0:  # score the distance from the top
-                    bitmap ^= self.all
-                for c in range(lead.bit_length()):
-                    if lead >> c & 1:
-                        levels[b - dropped_v + c].append(bitmap)
+    """A block's ids, and as bitmaps the bits of its components above their least values."""
+
+    def __init__(self, ids: np.ndarray, low: list[int], slices_: list[list[int]]) -> None:
+        self.ids, self.low, self.slices = ids, low, slices_
+        self.all = (1 << len(ids)) - 1
+
+    @classmethod
+    def of(cls, ids: np.ndarray, rows: np.ndarray) -> Block:
+        low = rows.min(0) if len(rows) else np.zeros(rows.shape[1], np.int64)
+        # Unsigned, as the range of two longs may be no long.
+        spread = rows.astype(np.uint64) - low.astype(np.uint64)
+        found = []
+        for d in range(rows.shape[1]):
+            bits = int(spread[:, d].max(initial=0)).bit_length()
+            places = [(spread[:, d] >> np.uint64(b) & np.uint64(1)).astype(bool) for b in range(bits)]
+            found.append(
+                [int.from_bytes(np.packbits(one, bitorder="little"), "little") for one in places]
+            )
+        return cls(ids, low.tolist(), found)
+
+    def packed(self) -> tuple[bytes, list[int], list[int], bytes]:
+        """``(ids, least values, bits per component, slices)``, as they are stored."""
+        size = -(-len(self.ids) // 8)
+        flat = b"".join(one.to_bytes(size, "little") for own in self.slices for one in own)
+        return self.ids.tobytes(), self.low, list(map(len, self.slices)), flat
+
+    @classmethod
+    def stored(cls, ids: bytes, low: list[int], bits: list[int], flat: bytes) -> Block:
+        ids_ = np.frombuffer(ids, np.int64)
+        size, at, found = -(-len(ids_) // 8), 0, []
+        for n in bits:
+            cuts = [at + size * b for b in range(n)]
+            found.append([int.from_bytes(flat[cut : cut + size], "little") for cut in cuts])
+            at += size * n
+        return cls(ids_, low, found)
+
+    def scores(self, query: list[int]) -> tuple[list[int], int]:
+        """Slices of all rows' scores, lowest first, and the constant that these lack."""
+        levels: list[list[int]] = [[]]
+        lacking = 0
+        for low, own, weight in zip(self.low, self.slices, query, strict=False):
+            lacking += weight * low
+            if weight < 0:
+                lacking += weight * ((1 << len(own)) - 1)
+            size = abs(weight)
+            for c in range(size.bit_length()):
+                if size >> c & 1:
+                    while len(levels) < c + len(own):
+                        levels.append([])
+                    for b, bitmap in enumerate(own, c):
+                        levels[b].append(bitmap if weight > 0 else bitmap ^ self.all)
         sums, at = [], 0
         while at < len(levels):
             pending = levels[at]
@@ -103,58 +120,55 @@ class Block:
                 levels[at + 1].append(x & y | z & half)
             sums.append(pending[0] if pending else 0)
             at += 1
-        unit = 1 << dropped_w + dropped_v
-        return sums, -(-rest // unit)
-
-    def boundary(self, sums: list[int], margin: int, k: int) -> int:
-        """Rows whose coarse score is at least the k-th one less the margin."""
-        sure, even, kth = 0, self.all, 0
-        for at in reversed(range(len(sums))):
-            high = sure | even & sums[at]
-            if high.bit_count() >= k:
-                even &= sums[at]
-                kth |= 1 << at
-            else:
-                sure = high
-                even &= ~sums[at]
-        bound = kth - margin
-        if bound <= 0:
-            return self.all
+        return sums, lacking
+
+    def split(self, sums: list[int], k: int) -> tuple[int, int]:
+        """Rows above the k-th score, and those equal to it."""
         above, even = 0, self.all
-        for at in reversed(range(max(len(sums), bound.bit_length()))):
-            bitmap = sums[at] if at < len(sums) else 0
-            if bound >> at & 1:
+        for bitmap in reversed(sums):
+            high = above | even & bitmap
+            if high.bit_count() >= k:
                 even &= bitmap
             else:
-                above |= even & bitmap
+                above = high
                 even &= ~bitmap
-        return above | even
+        return above, even
+
+    def places(self, rows: int) -> np.ndarray:
+        octets = np.frombuffer(rows.to_bytes(-(-len(self.ids) // 8), "little"), np.uint8)
+        return np.flatnonzero(np.unpackbits(octets, bitorder="little", count=len(self.ids)))
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+    def top(self, query_id: int, query: list[int], k: int) -> list[tuple[int, int]]:
         """The k best ``(score, vec_id)`` but the query's own id, ties to smaller ids."""
-        width = max(len(query), self.rows.shape[1])
-        query = np.pad(query, (0, width - len(query)))[: self.rows.shape[1]]
-        sums, margin = self.coarse(query)
         own = int((self.ids == query_id).sum())
-        mask = self.boundary(sums, margin, min(k + own, len(self.ids)))
-        octets = np.frombuffer(mask.to_bytes(-(-len(self.ids) // 8), "little"), np.uint8)
-        near = np.flatnonzero(np.unpackbits(octets, bitorder="little", count=len(self.ids)))
-        near = near[self.ids[near] != query_id]
-        most = int(np.abs(self.rows).max(initial=0)) * int(np.abs(query).max(initial=0))
-        wide = object if most * width >= 1 << 62 else np.int64
-        scores = self.rows[near].astype(wide) @ query.astype(wide)
-        best = sorted(zip((-scores).tolist(), self.ids[near].tolist(), strict=True))[:k]
-        return [(-score, vec_id) for score, vec_id in best]
+        sums, lacking = self.scores(query)
+        above, even = self.split(sums, min(k + own, len(self.ids)))
+        sure, equal = self.places(above), self.places(even)
+        equal = equal[np.argsort(self.ids[equal], kind="stable")]
+        # Of equal rows the smallest ids, and enough of them if the query itself is one.
+        rows = np.concatenate([sure, equal[: k + own]])
+        found = []
+        for row, vec_id in zip(rows.tolist(), self.ids[rows].tolist(), strict=True):
+            if vec_id != query_id:
+                score = sum((bitmap >> row & 1) << at for at, bitmap in enumerate(sums))
+                found.append((-(score + lacking), vec_id))
+        return [(-score, vec_id) for score, vec_id in sorted(found)[:k]]
 
 
 def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(ids, rows, width)``: blocks of vectors, as stored integers."""
-    schema = pa.schema([("ids", pa.binary()), ("rows", pa.binary()), ("width", pa.int32())])
+    """``(ids, low, bits, slices)``: blocks of vectors as bitmaps, stored."""
+    schema = pa.schema(
+        [
+            ("ids", pa.binary()),
+            ("low", pa.list_(pa.int64())),
+            ("bits", pa.list_(pa.int32())),
+            ("slices", pa.binary()),
+        ]
+    )
 
     def packed(ids: list[int], lists: list[list[int]]) -> pa.RecordBatch:
-        rows = _matrix(lists)
-        ids_ = np.array(ids, np.int64).tobytes()
-        return batch(schema, [ids_], [rows.tobytes()], [rows.shape[1]])
+        block = Block.of(np.array(ids, np.int64), _matrix(lists))
+        return batch(schema, *[[part] for part in block.packed()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lists = [], []
@@ -167,7 +181,7 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         if ids:
             yield packed(ids, lists)
 
-    return durable(vectors.mapInArrow(run, "ids binary, rows binary, width int"))
+    return durable(vectors.mapInArrow(run, "ids binary, low array<long>, bits array<int>, slices binary"))
 
 
 def nearest(
@@ -177,6 +191,7 @@ def nearest(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     query_rows: int = QUERY_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``df`` that ``is_query`` holds
     for, its k best other rows."""
@@ -188,24 +203,38 @@ def nearest(
     groups = queries.groupBy(group.alias("group")).agg(
         F.collect_list("vec_id").alias("query_ids"), F.collect_list("parts").alias("queries")
     )
+    groups = durable(groups)
+    n_blocks = blocks.count()
     numbers = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)).cast("array<long>"))
-    meetings = blocks.withColumn("group", numbers).join(groups, "group")
+    meetings = blocks.withColumn("group", numbers)
+    if fits_broadcast(groups, max_broadcast_bytes):
+        # Each meeting is long work on few bytes: dealt out one by one.
+        conf, context = df.sparkSession.conf, df.sparkSession.sparkContext
+        tasks = max(int(conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
+        meetings = meetings.repartition(max(1, min(n_blocks * n_groups, tasks)))
+        meetings = meetings.join(F.broadcast(groups), "group")
+    else:
+        # A group meets BLOCKS_A_TASK blocks in a task; queries are copied, not blocks.
+        salts = -(-n_blocks // BLOCKS_A_TASK)
+        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))
+        salt = F.pmod(F.xxhash64("ids"), F.lit(salts)).alias("salt")
+        meetings = meetings.select("*", salt).join(
+            groups.withColumn("salt", copies).hint("merge"), ["group", "salt"]
+        )
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows, widths, query_ids, queries_ in slices(batches, 1):
-            ids_ = np.frombuffer(ids[0], np.int64)
-            values = np.frombuffer(rows[0], np.int64).reshape(len(ids_), widths[0])
-            block = Block(ids_, values)
+        for *parts, query_ids, queries_ in slices(batches, 1):
+            block = Block.stored(*[part[0] for part in parts])
             out = [
                 (query_id, vec_id_, score)
                 for query_id, query in zip(query_ids[0], queries_[0], strict=True)
-                for score, vec_id_ in block.top(query_id, np.array(query, np.int64), k)
+                for score, vec_id_ in block.top(query_id, query, k)
             ]
             if out:
                 yield batch(schema, *zip(*out, strict=True))
 
-    columns = ["ids", "rows", "width", "query_ids", "queries"]
+    columns = ["ids", "low", "bits", "slices", "query_ids", "queries"]
     partial = meetings.select(columns).mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

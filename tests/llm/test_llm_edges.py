@@ -131,20 +131,40 @@ def test_topk(spark):
         scores = [(-sum(a * b for a, b in zip(v, w, strict=False)), m) for m, w in valid if m != n]
         wanted += [(n, at + 1, m, -s) for at, (s, m) in enumerate(sorted(scores)[:10])]
     is_query = topk.F.col("vec_id") % 100 == 0
-    for query_rows in (128, 2):
-        found = topk.nearest(df, is_query, 10, query_rows=query_rows)
+    for query_rows, bytes_ in ((2048, 1 << 20), (2, 1 << 20), (2, 0)):
+        found = topk.nearest(df, is_query, 10, query_rows=query_rows, max_broadcast_bytes=bytes_)
         assert _sorted(found.collect()) == _sorted(wanted)
     assert topk.nearest(df.limit(0), is_query, 10).collect() == []
 
 
-def test_topk_boundaries_never_lose_a_row():
+def test_topk_of_slices_is_that_of_products():
     random_rows = np.random.default_rng(3)
-    for scale in (3, 1000, 10**6):
-        rows = random_rows.integers(-scale, scale, (300, 5))
-        block = topk.Block(np.arange(300), rows)
-        for query in random_rows.integers(-scale, scale, (20, 5)):
-            scores = sorted((-int(s), at) for at, s in enumerate(rows @ query))
-            assert block.top(-1, query, 10) == [(-s, at) for s, at in scores[:10]]
+    for scale in (1, 3, 1000, 10**6, 2**40):
+        rows = random_rows.integers(-scale, scale, (300, 5), endpoint=True)
+        ids = random_rows.permutation(300) // 2  # each id twice
+        block = topk.Block.stored(*topk.Block.of(ids.astype(np.int64), rows).packed())
+        for query in random_rows.integers(-min(scale, 10**6), min(scale, 10**6), (20, 5), endpoint=True):
+            for own in (-1, 7):
+                scores = sorted(
+                    (-sum(int(a) * int(b) for a, b in zip(row, query, strict=True)), int(at))
+                    for row, at in zip(rows, ids, strict=True)
+                    if at != own
+                )
+                for k in (1, 10, 400):
+                    found = block.top(own, query.tolist(), k)
+                    assert found == [(-score, at) for score, at in scores[:k]]
+
+
+def test_the_boundary_of_a_query_is_its_ties():
+    """Rows that are looked at one by one are the k best and those equal to the last of them."""
+    rows = np.random.default_rng(4).integers(-500, 500, (8192, 64))
+    block = topk.Block.of(np.arange(8192), rows)
+    for query in rows[:3]:
+        sums, _ = block.scores(query.tolist())
+        above, even = block.split(sums, 10)
+        scores = np.sort(rows @ query)[::-1]
+        assert above.bit_count() == (scores > scores[9]).sum()
+        assert even.bit_count() == (scores == scores[9]).sum()
 
 
 def test_quality(spark, docs):
