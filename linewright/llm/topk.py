@@ -215,7 +215,7 @@ def nearest(
         meetings = meetings.join(F.broadcast(groups), "group")
     else:
         # A group meets BLOCKS_A_TASK blocks in a task; queries are copied, not blocks.
-        salts = -(-n_blocks // BLOCKS_A_TASK)
+        salts = max(1, -(-n_blocks // BLOCKS_A_TASK))
         copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))
         salt = F.pmod(F.xxhash64("ids"), F.lit(salts)).alias("salt")
         meetings = meetings.select("*", salt).join(

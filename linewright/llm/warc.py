@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from linewright.llm.common import batch, slices
 from linewright.plans.durable import durable, fresh_dir
+from linewright.plans.sizing import fits_broadcast
 
 SMALL = 100
 FILE_BYTES = 64 << 20
@@ -115,7 +116,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     firsts = large.groupBy("digest").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")
     )
-    firsts = firsts.where("n > 1 and first is not null").drop("n")
+    # Written, so that a join has to shuffle it as well, which lets adaptive execution split a
+    # payload that very many pages have; few of them are broadcast, and no payload moves.
+    firsts = durable(firsts.where("n > 1 and first is not null").drop("n"))
+    firsts = F.broadcast(firsts) if fits_broadcast(firsts) else firsts.hint("merge")
     revisits = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     marked = rows.join(firsts, "digest", "left").select(
         capture_key("url", "page_id").alias("key"),
