@@ -7,7 +7,8 @@ at most two bits agree in two of four 16-bit blocks, and each pair of blocks nam
 shard. Crowded shards are cut again by three blocks of the bits still free, one of which
 must agree; after two such cuts at most 15 bits are free, so no tree has over 32,768
 fingerprints, whatever the data. Each shard gives a star of links per linked set instead of
-all its pairs, and the stars are joined to components by large-star and small-star rounds.
+all its pairs, and the stars are joined to components by large-star and small-star rounds, whose
+joins shuffle both sides, so that a root with very many fingerprints can be split among tasks.
 
 Null texts are empty. Texts without words have fingerprint zero and link as any other.
 Repeated rows keep a row each. Null ids never name a component unless it has no other.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import batch, keyed, same_row, slices
+from linewright.llm.common import batch, join_counted, keyed, same_row, slices
 from linewright.plans.durable import durable
 
 SHINGLE = 3
@@ -221,10 +222,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), "m")
+        large = join_counted(both, least, "a").where("b > a").select(F.col("b").alias("a"), "m")
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("m").alias("low"))
-        small = large.join(low, "a").select("a", "low", "m")
+        small = join_counted(large, low, "a").select("a", "low", "m")
         now = durable(
             small.select("a", F.col("low").alias("b"))
             .unionByName(small.select(F.col("m").alias("a"), F.col("low").alias("b")))
