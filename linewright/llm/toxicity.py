@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -62,18 +63,20 @@ LISTS = {
     "fr": "idiot imbécile crétin stupide abruti minable dégoûtant nul",
     "es": "idiota imbécil estúpido tonto basura perdedor asqueroso patético",
 }
-# Ways of writing, by name.
+# Ways of writing a token, by name; as text, not lower-cased.
 PATTERNS = {
-    "shouting": r"\b[A-Z]{3,}(?:\W+[A-Z]{3,}){2}\b",
-    "exclaiming": r"[!?]{3,}",
-    "masking": r"\b\w+[*@#$%]+\w+\b",
-    "drawling": r"([^\W\d_])\1{3,}",
-    "addressing": r"(?i)\byou(?:'re| are)\b",
+    "exclaiming": r"[!?]{3}",
+    "masking": r"\w[*@#$%]+\w",
+    "drawling": r"(?i)([^\W\d_])\1{3}",
 }
+_OF_LETTERS = ("drawling",)
+SHOUTED = 3  # words all in capitals, of three letters at least, that make a text shout
+_ADDRESSING = ("you are", "you're")
 _WORD = re.compile(r"[^\W\d_]+")
 _LISTS = [frozenset(words.split()) for words in LISTS.values()]
 _PATTERNS = [re.compile(pattern) for pattern in PATTERNS.values()]
-FIXED = len(LISTS) + len(PATTERNS)
+# Voters besides the stems: lists, patterns, shouting and addressing.
+FIXED = len(LISTS) + len(PATTERNS) + 2
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -93,42 +96,101 @@ def levels(times: int, words: int) -> list[int]:
     return [n for n in LEVELS if n == 1 or times >= max(n, words / WORDS_A_TIME)]
 
 
+class Token(NamedTuple):
+    """What stands between blanks: how many words, their terms, the voters that it makes fire,
+    and whether it shouts."""
+
+    words: int
+    terms: tuple[str, ...]
+    votes: int
+    shouts: bool
+
+
 class Reader:
-    """What texts have of a list of ``(term, level)``. Remembers words of ordinary length."""
-
-    def __init__(self, vocabulary: list[tuple[str, int]]) -> None:
-        self.number = {term: at for at, term in enumerate(sorted({term for term, _ in vocabulary}))}
-        self.entry = {(self.number[term], n): at for at, (term, n) in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            found = tuple(self.number[t] for t in terms(word) if t in self.number)
-            if len(word) <= LONGEST_WORD:
-                if len(self.known) >= MEMO_WORDS:
-                    self.known.clear()
-                self.known[word] = found
+    """Reads texts token by token, and remembers tokens of ordinary length.
+
+    With a vocabulary of ``(term, level)`` it tells what texts have of that, else of all terms.
+    """
+
+    def __init__(self, vocabulary: list[tuple[str, int]] | None = None) -> None:
+        self.entry = {key: at for at, key in enumerate(vocabulary or [])}
+        self.listed = {
+            word: sum(1 << at for at, one in enumerate(_LISTS) if word in one)
+            for word in frozenset().union(*_LISTS)
+        }
+        self.every = vocabulary is None
+        wanted = {term for term, _ in self.entry}
+        self.wanted = wanted
+        # Terms by their bare text, where a word's beginning or end is looked up.
+        self.starts = {term[:-1]: term for term in wanted if term.endswith("-")}
+        self.ends = {term[1:]: term for term in wanted if term.startswith("-")}
+        self.known: dict[str, Token] = {}
+
+    def terms_of(self, word: str) -> list[str]:
+        if self.every:
+            return terms(word)
+        found = [word] if word in self.wanted else []
+        longest = len(word) - 1
+        for n in LENGTHS:
+            if n > longest:
+                break
+            if word[:n] in self.starts:
+                found.append(self.starts[word[:n]])
+            if word[-n:] in self.ends:
+                found.append(self.ends[word[-n:]])
         return found
 
-    def read(self, text: str) -> tuple[int, list[int], list[int], int]:
-        """``(words, terms, their counts, fixed voters that fire as bits)``."""
-        words = Counter(_WORD.findall(text.lower()))
-        counts: Counter[int] = Counter()
-        for word, n in words.items():
-            for term in self.of_word(word):
+    def of(self, written: str) -> Token:
+        lowered = written.lower()
+        plain = written.isalpha()
+        words = [lowered] if plain else _WORD.findall(lowered)
+        votes, held = 0, []
+        for word in words:
+            votes |= self.listed.get(word, 0)
+            held += self.terms_of(word)
+        # The others ask for more than letters.
+        for at, name in enumerate(PATTERNS):
+            if (not plain or name in _OF_LETTERS) and _PATTERNS[at].search(written):
+                votes |= 1 << at + len(_LISTS)
+        shouts = written.isupper() and any(len(word) > 2 for word in words)
+        return Token(len(words), tuple(held), votes, shouts)
+
+    def token(self, written: str) -> Token:
+        found = self.of(written)
+        if len(written) <= LONGEST_WORD:
+            if len(self.known) >= MEMO_WORDS:
+                self.known.clear()
+            self.known[written] = found
+        return found
+
+    def counted(self, text: str) -> tuple[int, Counter[str], int]:
+        """``(words, times of each term, fixed voters that fire as bits)``."""
+        n_words, votes, shouted = 0, 0, 0
+        counts: Counter[str] = Counter()
+        known = self.known
+        for written, n in Counter(text.split()).items():
+            words, held, fires, shouts = known.get(written) or self.token(written)
+            n_words += n * words
+            votes |= fires
+            shouted += n * shouts
+            for term in held:
                 counts[term] += n
-        fixed = sum(1 << at for at, one in enumerate(_LISTS) if not one.isdisjoint(words))
-        fixed |= sum(
-            1 << at + len(_LISTS) for at, one in enumerate(_PATTERNS) if one.search(text)
-        )
+        lowered = text.lower()
+        last = len(_LISTS) + len(_PATTERNS)
+        votes |= (shouted >= SHOUTED) << last
+        votes |= any(one in lowered for one in _ADDRESSING) << last + 1
+        return n_words, counts, votes
+
+    def read(self, text: str) -> tuple[int, list[int], list[int], int]:
+        """``(words, entries of the vocabulary, their times, fixed voters)``."""
+        n_words, counts, votes = self.counted(text)
         held = sorted(
             (self.entry[term, n], times)
             for term, times in counts.items()
-            for n in levels(times, words.total())
+            for n in levels(times, n_words)
             if (term, n) in self.entry
         )
-        return words.total(), [at for at, _ in held], [times for _, times in held], fixed
+        return n_words, [at for at, _ in held], [times for _, times in held], votes
 
 
 def _decoded(texts: list[bytes]) -> list[str]:
@@ -177,16 +239,18 @@ def telling_terms(rows: DataFrame, sample: DataFrame, most: int = TERMS) -> list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Counter[tuple[str, int]]] = [Counter(), Counter()]
+        once: list[Counter[str]] = [Counter(), Counter()]
+        reader = Reader()
         for labels, texts_ in slices(batches):
             for label, text in zip(labels, _decoded(texts_), strict=True):
-                counts: Counter[str] = Counter()
-                words = Counter(_WORD.findall(text.lower()))
-                for word, n in words.items():
-                    for term in terms(word):
-                        counts[term] += n
-                n_words = words.total()
-                held[label].update((t, n) for t, c in counts.items() for n in levels(c, n_words))
+                n_words, counts, _ = reader.counted(text)
+                once[label].update(counts.keys())
+                for term, times in counts.items():
+                    if times > 1:
+                        held[label].update((term, n) for n in levels(times, n_words)[1:])
                 held[label]["", 1] += 1
+        for label in (0, 1):
+            held[label].update({(term, 1): n for term, n in once[label].items()})
         every = sorted(held[0].keys() | held[1].keys())
         yield pa.RecordBatch.from_arrays(
             [
@@ -260,7 +324,7 @@ def stems_of(telling: list[Telling], most: int = STEMS) -> list[int]:
 
 
 def read_all(rows: DataFrame, vocabulary: list[tuple[str, int]], stems: list[int]) -> DataFrame:
-    """``(doc_id, text_key, words, terms, counts, votes)`` of every row."""
+    """``(doc_id, text_key, words, terms, counts, votes)`` of every row, kept as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(vocabulary)
@@ -274,7 +338,7 @@ def read_all(rows: DataFrame, vocabulary: list[tuple[str, int]], stems: list[int
                     part.column(1),
                     pa.array([one[0] for one in found], pa.int64()),
                     pa.array([one[1] for one in found], pa.list_(pa.int32())),
-                    pa.array([one[2] for one in found], pa.list_(pa.int64())),
+                    pa.array([one[2] for one in found], pa.list_(pa.int32())),
                     pa.array(votes, pa.int64()),
                 ],
                 names=["doc_id", "text_key", "words", "terms", "counts", "votes"],
@@ -282,7 +346,7 @@ def read_all(rows: DataFrame, vocabulary: list[tuple[str, int]], stems: list[int
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"doc_id {id_type}, text_key long, words long, terms array<int>, counts array<long>, votes long"
+        f"doc_id {id_type}, text_key long, words long, terms array<int>, counts array<int>, votes long"
     )
     return durable(rows.mapInArrow(run, schema))
 
