@@ -37,14 +37,15 @@ def parted(uri: str) -> tuple:
     return system, f"{base}/{path}"
 
 
-def _dealt(rows: DataFrame, length: str) -> DataFrame:
-    """``rows`` dealt to tasks, of about ``TASK_BYTES`` each; no fewer tasks than cores, as far
-    as there are rows."""
-    work = F.sum(F.col(length) + F.lit(OPEN_BYTES))
+def deal_out(
+    rows: DataFrame, length: str, task_bytes: int = TASK_BYTES, open_bytes: int = OPEN_BYTES
+) -> DataFrame:
+    """``rows`` dealt to tasks, of about ``task_bytes`` each, to which a row adds ``open_bytes``;
+    no fewer tasks than cores, as far as there are rows."""
+    work = F.sum(F.col(length) + F.lit(open_bytes))
     n, total = rows.agg(F.count(F.lit(1)), work).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(min(n, cores), -(-(total or 0) // TASK_BYTES), 1)
-    return rows.repartition(tasks)
+    return rows.repartition(max(min(n, max(cores, -(-(total or 0) // task_bytes))), 1))
 
 
 def range_md5(uri: str, offset: int, length: int | None = None) -> str:
@@ -77,7 +78,7 @@ def digest_files(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests)], ["key", "md5"])
 
     files = list_files(spark, path, hidden=hidden)
-    dealt = _dealt(files, "length").select("file", "uri")
+    dealt = deal_out(files, "length").select("file", "uri")
     return dealt.mapInArrow(run, "key string, md5 string")
 
 
@@ -92,7 +93,7 @@ def _digested(ranges: DataFrame) -> DataFrame:
             names = ["key", "offset", "length", "md5"]
             yield pa.RecordBatch.from_arrays([key, offset, length, digests], names)
 
-    dealt = _dealt(ranges, "length").select("key", "uri", "offset", "length")
+    dealt = deal_out(ranges, "length").select("key", "uri", "offset", "length")
     return dealt.mapInArrow(run, "key string, offset long, length long, md5 string")
 
 
@@ -210,7 +211,7 @@ def read_texts(
                 yield _texts(names, texts)
 
     files = list_files(spark, path, hidden=hidden)
-    dealt = _dealt(files, "length").select("file", "uri")
+    dealt = deal_out(files, "length").select("file", "uri")
     read = dealt.mapInArrow(run, "file string, text binary")
     return read.withColumn("text", F.col("text").cast("string"))
 

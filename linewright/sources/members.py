@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from linewright.plans.durable import durable
 from linewright.plans.running import in_pieces, max_before, sum_before
-from linewright.sources.contents import parted
+from linewright.sources.contents import deal_out, parted
 from linewright.sources.listing import list_files
 
 READ_BYTES = 1 << 20
 RANGE_BYTES = 32 << 20
 LINES = 4096
+# A task's share of ranges: so many bytes, to which each range adds some for its opening.
+TASK_BYTES = RANGE_BYTES
+OPEN_BYTES = 256 << 10
 _GZIP = 31  # zlib's name for the format
 
 
@@ -145,8 +148,13 @@ def _lines(source, before: int | None, start: int, end: int) -> Iterator[bytes]:
 
 def read_member_lines(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows ``(file, value)``, one per ``\\n``-ended line of the files of ``index``, which
-    ``index_members`` made: what ``read_lines`` gives, by as many tasks as there are ranges of
-    about ``range_bytes`` of compressed members."""
+    ``index_members`` made: what ``read_lines`` gives, read in ranges of about ``range_bytes``
+    of compressed members.
+
+    A task takes ranges of about ``TASK_BYTES`` together, so that small ones, of which there may
+    be very many, do not each wait for a task; there are no fewer tasks than cores, as far as
+    there are ranges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +183,10 @@ def read_member_lines(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataF
         F.min("offset").alias("start"),
         F.max(F.col("offset") + F.col("size")).alias("end"),
     )
-    ranges = durable(ranges.select("file", "uri", "before", "start", "end"))
-    n = ranges.count()
-    read = ranges.repartition(max(n, 1)).mapInArrow(run, "file string, value binary")
+    ranges = ranges.withColumn("size", F.col("end") - F.col("start"))
+    ranges = durable(ranges.select("file", "uri", "before", "start", "end", "size"))
+    dealt = deal_out(ranges, "size", TASK_BYTES, OPEN_BYTES).drop("size")
+    read = dealt.mapInArrow(run, "file string, value binary")
     return read.withColumn("value", F.col("value").cast("string"))
 
 

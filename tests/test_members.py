@@ -94,3 +94,20 @@ def test_one_big_file_is_read_by_many_tasks(spark, tmp_path):
     kept = str(tmp_path / "index")
     index.write.parquet(kept)  # a later run reads the file by what an earlier one found out
     assert lw.read_member_lines(spark.read.parquet(kept), 100_000).count() == 200_000
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Ranges far smaller than a task's share do not each take a task."""
+    lines = [b"%d %x\n" % (n, n * 7919) for n in range(3000)]
+    (tmp_path / "small.gz").write_bytes(_file(lines))
+    found = lw.read_member_lines(lw.index_members(spark, str(tmp_path)), 1)
+    assert 8 <= found.rdd.getNumPartitions() <= 40  # of 3,000 ranges
+    wanted = sorted(("small.gz", line.decode().rstrip("\n")) for line in lines)
+    assert sorted(map(tuple, found.collect())) == wanted
+
+
+@pytest.mark.parametrize(("size", "tasks"), [(members.RANGE_BYTES, 50), (1 << 20, 8)])
+def test_tasks_go_by_the_bytes_of_ranges(spark, size, tasks):
+    rows = [("a", "file:///a", n * size, size, size) for n in range(50)]
+    index = spark.createDataFrame(rows, "file string, uri string, offset long, size long, raw long")
+    assert lw.read_member_lines(index, size).rdd.getNumPartitions() == tasks
